@@ -14,7 +14,7 @@ PAIR_PATTERN = r"\('([^']+)', ('[^']*'|[^)]*)\)"
 
 def comma_parts(column: str) -> Column:
     """Trimmed parts of a comma list; NULL stays NULL."""
-    return F.transform(F.split(F.col(column), ","), F.trim)
+    return F.transform(F.split(F.col(column), ","), lambda part: F.trim(part))
 
 
 def first_known(parts: Column, known: Column | Sequence[str]) -> Column:

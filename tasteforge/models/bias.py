@@ -8,11 +8,13 @@ Koren, "Factor in the Neighbors" (2010): terms are found in turn,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from tasteforge.models.base import Recommender, check_cold_start, clamp
 from tasteforge.operators.prep import ITEM, USER
-from tasteforge.operators.skew import ROWS_PER_SLICE, SLICE, SLICES, add_slice, join_sliced, pin_hot_keys, repeat_slices
+from tasteforge.operators.skew import ROWS_PER_SLICE, SLICE, SLICES, add_slice, join_chain, pin_hot_keys, repeat_slices
 from tasteforge.sources.shared import cut_lineage, stage
 
 
@@ -77,11 +79,14 @@ class BiasModel(Recommender):
         self.tables = {"items": items, "users": users}
         return self
 
-    def estimate(self, pairs: DataFrame) -> DataFrame:
-        """Pairs with both terms (NULL when unknown) and the unclamped estimate."""
+    def estimate(self, pairs: DataFrame, more: Sequence[tuple[DataFrame, Sequence[str], str]] = ()) -> DataFrame:
+        """Pairs with both terms (NULL when unknown) and the unclamped estimate.
+
+        ``more`` tables are joined in the same chain.
+        """
         self.check_fitted()
-        with_user = join_sliced(pairs, self.tables["users"], [USER], "left", rows_per_slice=self.rows_per_slice)
-        with_both = join_sliced(with_user, self.tables["items"], [ITEM], "left", rows_per_slice=self.rows_per_slice)
+        steps = [(self.tables["users"], [USER], "left"), (self.tables["items"], [ITEM], "left"), *more]
+        with_both = join_chain(pairs, steps, self.rows_per_slice)
         value = F.lit(self.scalars["mean"]) + F.coalesce("b_u", F.lit(0.0)) + F.coalesce("b_i", F.lit(0.0))
         return with_both.withColumn("_estimate", value)
 

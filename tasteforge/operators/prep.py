@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tasteforge.functions.hashing import uniform
 from tasteforge.functions.text import comma_parts, first_known
-from tasteforge.operators.skew import ROWS_PER_SLICE, join_sliced, positions
+from tasteforge.operators.skew import ROWS_PER_SLICE, join_chain, join_sliced, positions
 from tasteforge.sources.tables import REVIEW_COLUMNS
 
 USER, ITEM = "user_id", "business_id"
@@ -53,18 +53,15 @@ def active_ratings(ratings: DataFrame, user_at_least: int, item_at_least: int, r
     Both counts come from the whole table, in one pass: dropping an item does
     not make a user inactive.
     """
-    kept = ratings
-    for key, counts, least in (
-        (USER, active_users(ratings, user_at_least), user_at_least),
-        (ITEM, active_items(ratings, item_at_least), item_at_least),
-    ):
-        if least > 1:
-            kept = join_sliced(kept, counts.select(key), [key], "left_semi", rows_per_slice=rows_per_slice)
-        else:
-            # Every key present has a row: only a NULL key, which no join
-            # would match, can fail.
-            kept = kept.filter(F.col(key).isNotNull())
-    return kept
+    # A threshold of one holds for every key present, so it needs no join; only
+    # a NULL key, which no join would match, can fail it.
+    known = ratings.filter(F.col(USER).isNotNull() & F.col(ITEM).isNotNull())
+    steps = []
+    if user_at_least > 1:
+        steps.append((active_users(ratings, user_at_least).select(USER), [USER], "left_semi"))
+    if item_at_least > 1:
+        steps.append((active_items(ratings, item_at_least).select(ITEM), [ITEM], "left_semi"))
+    return join_chain(known, steps, rows_per_slice)
 
 
 def filter_outlier_users(ratings: DataFrame, at_most: int = 500, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:

@@ -64,9 +64,9 @@ def candidate_pool(test: DataFrame, items: DataFrame, rows_per_slice: int = ROWS
     every test pair would grow with the square of the group.
     """
     sizes = items.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_group_size"))
-    pairs = test.select(USER, ITEM).distinct()
-    with_group = join_sliced(pairs, items.select(ITEM, *GROUP), [ITEM], rows_per_slice=rows_per_slice)
-    pooled = join_sliced(with_group, sizes, GROUP, rows_per_slice=rows_per_slice)
+    # Items meet their group's size first: the test pairs are joined once.
+    sized = join_sliced(items.select(ITEM, *GROUP), sizes, GROUP, rows_per_slice=rows_per_slice)
+    pooled = join_sliced(test.select(USER, ITEM).distinct(), sized, [ITEM], rows_per_slice=rows_per_slice)
     return pooled.select(USER, ITEM, *GROUP, (F.col("_group_size") - 1).alias("pool_size"))
 
 

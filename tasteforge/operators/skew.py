@@ -73,6 +73,7 @@ def join_sliced(
     """Equi-join of a large ``left``, skewed on ``keys``, with ``right``.
 
     ``right`` should hold few rows per key: it is repeated for hot keys.
+    ``left`` is read twice, once to count its keys, unless ``hot`` is given.
     Works for inner, left, left_semi and left_anti.
     """
     keys = list(keys)
@@ -83,6 +84,23 @@ def join_sliced(
     return joined.select(*left.columns, *extra)
 
 
+def join_chain(
+    df: DataFrame,
+    steps: Sequence[tuple[DataFrame, Sequence[str], str]],
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """``join_sliced`` with several tables in turn: (right, keys, how) each.
+
+    Every key is counted on ``df`` itself, once, not on the joins before it:
+    counting those would work them out again for each further join.  ``df`` is
+    read once per key and once for the joins, so store it if it is costly.
+    """
+    hot = {tuple(keys): hot_keys(df, keys, rows_per_slice) for _, keys, _ in steps}
+    for right, keys, how in steps:
+        df = join_sliced(df, right, keys, how, hot[tuple(keys)])
+    return df
+
+
 def positions(
     df: DataFrame,
     keys: Sequence[str],

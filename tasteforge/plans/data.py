@@ -30,13 +30,17 @@ def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def negatives(spark: SparkSession, sf_dir: str, test: DataFrame, per_pair: int = NEGATIVES) -> DataFrame:
-    return sampling.sample_negatives(test, features(spark, sf_dir), per_pair, SEED)
+    return sampling.sample_negatives(test, stage(features(spark, sf_dir), "features"), per_pair, SEED)
 
 
 def candidates(spark: SparkSession, sf_dir: str, train: DataFrame, test: DataFrame) -> DataFrame:
-    """True items and negatives, without items the user has rated in training."""
-    drawn = negatives(spark, sf_dir, test)
-    return sampling.test_candidates(sampling.drop_seen_candidates(drawn, train))
+    """True items and negatives, without items the user has rated in training.
+
+    Stored after each step that is read more than once.
+    """
+    drawn = stage(negatives(spark, sf_dir, test), "negatives")
+    unseen = stage(sampling.drop_seen_candidates(drawn, train), "unseen")
+    return sampling.test_candidates(unseen)
 
 
 step(

@@ -72,8 +72,8 @@ def sink_parquet_roundtrip(spark, sf_dir):
 def sink_csv_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "users-csv")
     users = views.users(spark, sf_dir).select("user_id", "name", "segment", "member_since", "elite", "compliment_cool")
-    tables.write_csv(users, path)
-    return tables.read_csv(spark, path, users.schema).withColumn("member_since", F.col("member_since").cast("string"))
+    tables.write_csv(users, path, null_text="NULL")
+    return tables.read_csv(spark, path, users.schema, null_text="NULL").withColumn("member_since", F.col("member_since").cast("string"))
 
 
 @query("materialize_reuse", "ratings", "select business_id, count(*) as n from ratings group by 1")

@@ -11,6 +11,7 @@ from tasteforge.plans import data
 from tasteforge.plans.queries_prep import RATING_SQL, rating_rows
 from tasteforge.plans.registry import query, step
 from tasteforge.sources import views
+from tasteforge.sources.shared import stage
 
 
 @query("sample_keys", "ratings", f"select distinct user_id from ratings where {uniform_sql(24, 'user_id')} <= 0.3")
@@ -68,13 +69,13 @@ step(
 @query("drop_seen_test_pairs", "unseen_pairs", "select user_id, business_id, candidate_id from unseen_pairs")
 def drop_seen_test_pairs(spark, sf_dir):
     train, test = data.split(spark, sf_dir)
-    return sampling.drop_seen_test_pairs(data.negatives(spark, sf_dir, test), train)
+    return sampling.drop_seen_test_pairs(stage(data.negatives(spark, sf_dir, test), "negatives"), train)
 
 
 @query("drop_seen_candidates", "unseen_negatives", "select user_id, business_id, candidate_id from unseen_negatives")
 def drop_seen_candidates(spark, sf_dir):
     train, test = data.split(spark, sf_dir)
-    return sampling.drop_seen_candidates(data.negatives(spark, sf_dir, test), train)
+    return sampling.drop_seen_candidates(stage(data.negatives(spark, sf_dir, test), "negatives"), train)
 
 
 @query("test_candidates", "candidates", "select user_id, candidate_id from candidates")
@@ -90,7 +91,8 @@ def test_candidates(spark, sf_dir):
 )
 def test_candidates_by_test_pair(spark, sf_dir):
     train, test = data.split(spark, sf_dir)
-    return sampling.test_candidates(sampling.drop_seen_test_pairs(data.negatives(spark, sf_dir, test), train))
+    drawn = stage(data.negatives(spark, sf_dir, test), "negatives")
+    return sampling.test_candidates(stage(sampling.drop_seen_test_pairs(drawn, train), "kept"))
 
 
 @query(
@@ -101,7 +103,7 @@ def test_candidates_by_test_pair(spark, sf_dir):
 )
 def nested_candidates(spark, sf_dir):
     drawn = data.negatives(spark, sf_dir, data.split(spark, sf_dir)[1])
-    lists = list_per_key(drawn, ["user_id", "business_id"], "candidate_id", "candidates")
+    lists = list_per_key(stage(drawn, "negatives"), ["user_id", "business_id"], "candidate_id", "candidates")
     return lists.withColumn("candidates", F.array_join("candidates", ","))
 
 
