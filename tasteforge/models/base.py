@@ -10,6 +10,7 @@ from tasteforge.functions.text import hyper_text, params_dirname
 from tasteforge.operators.prep import ITEM, USER
 from tasteforge.operators.ranking import list_positions, rank_candidates
 from tasteforge.operators.sampling import CANDIDATE
+from tasteforge.sources.shared import stage
 
 COLD_START = ("keep", "drop", "nan")
 
@@ -32,7 +33,11 @@ class Recommender:
         raise NotImplementedError
 
     def transform(self, pairs: DataFrame) -> DataFrame:
-        """Add ``prediction`` to (user_id, business_id, ...)."""
+        """Add ``prediction`` to (user_id, business_id, ...).
+
+        The pairs are read once more to find hot keys: store them if they are
+        costly to work out.
+        """
         raise NotImplementedError
 
     def recommend(
@@ -44,8 +49,9 @@ class Recommender:
         order cannot turn a tie into an order.
         """
         pairs = candidates.withColumnRenamed(CANDIDATE, ITEM)
-        if dedupe:
-            pairs = pairs.select(USER, ITEM).distinct()
+        pairs = pairs.select(USER, ITEM).distinct() if dedupe else pairs.select(USER, ITEM)
+        # Stored, because a transform reads its pairs once more for each key.
+        pairs = stage(pairs, "pairs")
         scored = self.transform(pairs)
         if digits is not None:
             scored = scored.withColumn("prediction", F.round("prediction", digits))

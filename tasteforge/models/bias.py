@@ -86,7 +86,7 @@ class BiasModel(Recommender):
         """
         self.check_fitted()
         steps = [(self.tables["users"], [USER], "left"), (self.tables["items"], [ITEM], "left"), *more]
-        with_both = join_chain(pairs, steps, self.rows_per_slice)
+        with_both = join_chain(pairs, steps, self.rows_per_slice, pin=True)
         value = F.lit(self.scalars["mean"]) + F.coalesce("b_u", F.lit(0.0)) + F.coalesce("b_i", F.lit(0.0))
         return with_both.withColumn("_estimate", value)
 

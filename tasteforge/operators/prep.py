@@ -56,11 +56,12 @@ def active_ratings(ratings: DataFrame, user_at_least: int, item_at_least: int, r
     # A threshold of one holds for every key present, so it needs no join; only
     # a NULL key, which no join would match, can fail it.
     known = ratings.filter(F.col(USER).isNotNull() & F.col(ITEM).isNotNull())
+    # The counts are those that hot keys are found by, so Spark shuffles them once.
     steps = []
     if user_at_least > 1:
-        steps.append((active_users(ratings, user_at_least).select(USER), [USER], "left_semi"))
+        steps.append((active_users(known, user_at_least).select(USER), [USER], "left_semi"))
     if item_at_least > 1:
-        steps.append((active_items(ratings, item_at_least).select(ITEM), [ITEM], "left_semi"))
+        steps.append((active_items(known, item_at_least).select(ITEM), [ITEM], "left_semi"))
     return join_chain(known, steps, rows_per_slice)
 
 
@@ -72,21 +73,27 @@ def filter_outlier_users(ratings: DataFrame, at_most: int = 500, rows_per_slice:
     return join_sliced(ratings, kept, [USER], "left_semi", rows_per_slice=rows_per_slice)
 
 
-def mark_latest(ratings: DataFrame, time: str = "review_ts", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def mark_latest(
+    ratings: DataFrame, time: str = "review_ts", user_at_least: int = 1, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
     """Add ``is_test``: true for every row on its user's latest time.
 
+    Users with fewer than ``user_at_least`` rows are dropped by the same join.
+
     The same rows as dense_rank = 1 by time descending, found through a grouped
     maximum: a maximum combines on the map side, a window would put all rows of
     a user into one task.  Rows of a user without any time are all latest.
     """
-    latest = ratings.groupBy(USER).agg(F.max(time).alias("_latest"))
-    marked = join_sliced(ratings, latest, [USER], "left", rows_per_slice=rows_per_slice)
+    latest = ratings.groupBy(USER).agg(F.max(time).alias("_latest"), F.count(F.lit(1)).alias("_n"))
+    kept = latest.filter(F.col("_n") >= user_at_least).select(USER, "_latest")
+    how = "left" if user_at_least <= 1 else "inner"
+    marked = join_sliced(ratings, kept, [USER], how, rows_per_slice=rows_per_slice)
     return marked.withColumn("is_test", F.col(time).eqNullSafe(F.col("_latest"))).drop("_latest")
 
 
 def split_latest(ratings: DataFrame, time: str = "review_ts", rows_per_slice: int = ROWS_PER_SLICE) -> tuple[DataFrame, DataFrame]:
     """(train, test): each user's latest rows, ties included, are the test set."""
-    marked = mark_latest(ratings, time, rows_per_slice)
+    marked = mark_latest(ratings, time, rows_per_slice=rows_per_slice)
     return (
         marked.filter(~F.col("is_test")).drop("is_test"),
         marked.filter("is_test").drop("is_test"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tasteforge.functions.hashing import uniform
 from tasteforge.operators.prep import ITEM, USER
 from tasteforge.operators.skew import ROWS_PER_SLICE, join_sliced, positions
+from tasteforge.sources.shared import stage
 
 GROUP = ["top_category", "state"]
 CANDIDATE = "candidate_id"
@@ -85,7 +86,8 @@ def sample_negatives(
     prime, which meets every place once.  The cost is pairs x per_pair lookups,
     whatever the group size.
     """
-    numbered = number_items(items, seed, rows_per_slice)
+    # Read twice below: by item for the pairs, by place for the draws.
+    numbered = stage(number_items(items, seed, rows_per_slice), "numbered-items")
     pairs = join_sliced(test.select(USER, ITEM).distinct(), numbered, [ITEM], rows_per_slice=rows_per_slice)
     size = F.col("_group_size")
     start = F.floor(uniform(f"{seed}-start", USER, ITEM) * size)

@@ -88,14 +88,18 @@ def join_chain(
     df: DataFrame,
     steps: Sequence[tuple[DataFrame, Sequence[str], str]],
     rows_per_slice: int = ROWS_PER_SLICE,
+    pin: bool = False,
 ) -> DataFrame:
     """``join_sliced`` with several tables in turn: (right, keys, how) each.
 
     Every key is counted on ``df`` itself, once, not on the joins before it:
     counting those would work them out again for each further join.  ``df`` is
     read once per key and once for the joins, so store it if it is costly.
+    ``pin`` looks for hot keys at once (``pin_hot_keys``): right for a stored
+    ``df``, where it mostly leaves plain joins.
     """
-    hot = {tuple(keys): hot_keys(df, keys, rows_per_slice) for _, keys, _ in steps}
+    find = pin_hot_keys if pin else hot_keys
+    hot = {tuple(keys): find(df, keys, rows_per_slice) for _, keys, _ in steps}
     for right, keys, how in steps:
         df = join_sliced(df, right, keys, how, hot[tuple(keys)])
     return df
@@ -145,10 +149,13 @@ def _before(total: Column, window) -> Column:
 
 
 def pin_hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """``hot_keys`` worked out once, for loops that join the same table often.
+    """``hot_keys`` worked out at once, for tables that are joined often.
 
     The result is a local table of at most MAX_HOT_KEYS rows.  When no key is
-    hot it is empty, and Spark removes the slicing from later plans.
+    hot it is empty, and Spark removes the slicing from later plans.  A table
+    with no more rows than a slice has no hot key: for a stored table that
+    count reads the file footers only.
     """
     hot = hot_keys(df, keys, rows_per_slice)
-    return df.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    rows = hot.collect() if df.count() > rows_per_slice else []
+    return df.sparkSession.createDataFrame(rows, hot.schema)

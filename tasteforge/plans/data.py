@@ -15,17 +15,18 @@ NEGATIVES = 5
 SEED = 7
 
 
-def active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.active_ratings(views.ratings(spark, sf_dir), USER_AT_LEAST, ITEM_AT_LEAST)
-
-
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.business_features(views.items(spark, sf_dir), views.top_categories(spark, sf_dir))
 
 
 def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(train, test), marked once and stored, one folder for each."""
-    marked = stage(prep.mark_latest(active(spark, sf_dir)), "split", ["is_test"])
+    """(train, test), marked once and stored, one folder for each.
+
+    An item threshold of one drops nothing, so the user threshold and the mark
+    take one join together.
+    """
+    marked = prep.mark_latest(views.ratings(spark, sf_dir), user_at_least=USER_AT_LEAST)
+    marked = stage(marked, "split", ["is_test"])
     return marked.filter("not is_test").drop("is_test"), marked.filter("is_test").drop("is_test")
 
 
