@@ -91,9 +91,14 @@ def mark_latest(
     return marked.withColumn("is_test", F.col(time).eqNullSafe(F.col("_latest"))).drop("_latest")
 
 
-def split_latest(ratings: DataFrame, time: str = "review_ts", rows_per_slice: int = ROWS_PER_SLICE) -> tuple[DataFrame, DataFrame]:
-    """(train, test): each user's latest rows, ties included, are the test set."""
-    marked = mark_latest(ratings, time, rows_per_slice=rows_per_slice)
+def split_latest(
+    ratings: DataFrame, time: str = "review_ts", user_at_least: int = 1, rows_per_slice: int = ROWS_PER_SLICE
+) -> tuple[DataFrame, DataFrame]:
+    """(train, test): each user's latest rows, ties included, are the test set.
+
+    To use both, store ``mark_latest`` once and filter it twice instead.
+    """
+    marked = mark_latest(ratings, time, user_at_least, rows_per_slice)
     return (
         marked.filter(~F.col("is_test")).drop("is_test"),
         marked.filter("is_test").drop("is_test"),

@@ -82,37 +82,29 @@ def sample_negatives(
 
     Every pair gets min(per_pair, group size - 1) different items of its item's
     (category, state) group, never the item itself.  The group is numbered once
-    in hashed order; each pair starts at a hashed place and steps by a hashed
-    prime, which meets every place once.  The cost is pairs x per_pair lookups,
-    whatever the group size.
+    in hashed order; each pair starts at a hashed place among the other members
+    and steps by a hashed prime, which meets each of them once.  The cost is
+    pairs x per_pair lookups, whatever the group size.
     """
     # Read twice below: by item for the pairs, by place for the draws.
     numbered = stage(number_items(items, seed, rows_per_slice), "numbered-items")
     pairs = join_sliced(test.select(USER, ITEM).distinct(), numbered, [ITEM], rows_per_slice=rows_per_slice)
     size = F.col("_group_size")
-    start = F.floor(uniform(f"{seed}-start", USER, ITEM) * size)
-    stride = F.element_at(
-        F.array(*[F.lit(p) for p in STRIDES]),
-        F.floor(uniform(f"{seed}-stride", USER, ITEM) * len(STRIDES)).cast("int") + 1,
-    )
-    drawn = (
-        pairs.withColumn("_start", start)
-        .withColumn("_step", stride % size)
-        .withColumn(
-            "_places",
-            F.expr(
-                f"slice(filter(transform(sequence(0L, least({per_pair}L, _group_size - 1)),"
-                f" j -> (_start + j * _step) % _group_size), p -> p <> _place), 1, {per_pair})"
-            ),
-        )
-        .select(
-            USER,
-            ITEM,
-            *GROUP,
-            F.pmod(F.xxhash64(USER, ITEM), _repeats(size)).alias("_repeat"),
-            F.explode("_places").alias("_place"),
-        )
+    others = size - 1
+    # The other members form a ring that begins after the item's own place.
+    pairs = pairs.filter(others > 0).select(
+        USER,
+        ITEM,
+        *GROUP,
+        "_group_size",
+        (F.col("_place") + 1).alias("_first"),
+        F.floor(uniform(f"{seed}-start", USER, ITEM) * others).alias("_start"),
+        (F.element_at(F.array(*[F.lit(p) for p in STRIDES]), _pick(seed)) % others).alias("_step"),
+        F.pmod(F.xxhash64(USER, ITEM), _repeats(size)).alias("_repeat"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(per_pair), others) - 1)).alias("_j"),
     )
+    place = (F.col("_first") + (F.col("_start") + F.col("_j") * F.col("_step")) % others) % size
+    drawn = pairs.select(USER, ITEM, *GROUP, "_repeat", place.alias("_place"))
     looked_up = numbered.select(
         *GROUP,
         "_place",
@@ -122,6 +114,10 @@ def sample_negatives(
     return drawn.join(looked_up, [*GROUP, "_place", "_repeat"]).select(USER, ITEM, CANDIDATE)
 
 
+def _pick(seed: int | str) -> Column:
+    return F.floor(uniform(f"{seed}-stride", USER, ITEM) * len(STRIDES)).cast("int") + 1
+
+
 def _repeats(size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(SPREAD) / size)).cast("long")
 

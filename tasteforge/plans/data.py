@@ -81,21 +81,17 @@ def negatives_sql(per_pair: int) -> str:
     pick = uniform_sql(f"{SEED}-stride", "user_id", "business_id")
     strides = ", ".join(str(p) for p in sampling.STRIDES)
     return f"""
-        select user_id, business_id, candidate_id from (
-            select d.user_id, d.business_id, n.business_id as candidate_id,
-                   row_number() over (partition by d.user_id, d.business_id order by d.j) as rn
-            from (
-                select *, (s + j * stride) % size as drawn from (
-                    select p.*, unnest(range(0, least({per_pair} + 1, size))) as j from (
-                        select t.user_id, t.business_id, m.top_category, m.state, m.place, m.size,
-                               cast(floor({start.replace('user_id', 't.user_id').replace('business_id', 't.business_id')} * m.size) as bigint) as s,
-                               ([{strides}])[cast(floor({pick.replace('user_id', 't.user_id').replace('business_id', 't.business_id')} * {len(sampling.STRIDES)}) as int) + 1] % m.size as stride
-                        from (select distinct user_id, business_id from test) t join numbered m on t.business_id = m.business_id
-                    ) p
-                )
-            ) d join numbered n on d.top_category = n.top_category and d.state = n.state and d.drawn = n.place
-            where d.drawn <> d.place
-        ) where rn <= {per_pair}"""
+        select d.user_id, d.business_id, n.business_id as candidate_id from (
+            select *, (place + 1 + (s + j * stride) % (size - 1)) % size as drawn from (
+                select p.*, unnest(range(0, least({per_pair}, size - 1))) as j from (
+                    select t.user_id, t.business_id, m.top_category, m.state, m.place, m.size,
+                           cast(floor(t.s * (m.size - 1)) as bigint) as s,
+                           ([{strides}])[cast(floor(t.p * {len(sampling.STRIDES)}) as int) + 1] % (m.size - 1) as stride
+                    from (select distinct user_id, business_id, {start} as s, {pick} as p from test) t
+                    join numbered m on t.business_id = m.business_id where m.size > 1
+                ) p
+            )
+        ) d join numbered n on d.top_category = n.top_category and d.state = n.state and d.drawn = n.place"""
 
 
 step("negatives", "test numbered", negatives_sql(NEGATIVES))

@@ -10,7 +10,7 @@ from tasteforge.operators import prep
 from tasteforge.plans import data
 from tasteforge.plans.registry import query, ts_sql, ts_text
 from tasteforge.sources import tables, views
-from tasteforge.sources.shared import fresh_path, stage
+from tasteforge.sources.shared import fresh_path
 
 
 def rating_rows(df, *more):
@@ -167,20 +167,14 @@ def dataset_stats(spark, sf_dir):
     return prep.dataset_stats(views.ratings(spark, sf_dir))
 
 
-def active(spark, sf_dir):
-    """Active ratings, stored: the split reads them more than once."""
-    kept = prep.active_ratings(views.ratings(spark, sf_dir), data.USER_AT_LEAST, data.ITEM_AT_LEAST)
-    return stage(kept, "active")
-
-
 @query("split_latest_test", "test", f"select {RATING_SQL} from test")
 def split_latest_test(spark, sf_dir):
-    return rating_rows(prep.split_latest(active(spark, sf_dir))[1])
+    return rating_rows(prep.split_latest(views.ratings(spark, sf_dir), user_at_least=data.USER_AT_LEAST)[1])
 
 
 @query("split_latest_train", "train", f"select {RATING_SQL} from train")
 def split_latest_train(spark, sf_dir):
-    return rating_rows(prep.split_latest(active(spark, sf_dir))[0])
+    return rating_rows(prep.split_latest(views.ratings(spark, sf_dir), user_at_least=data.USER_AT_LEAST)[0])
 
 
 @query(
