@@ -1,13 +1,14 @@
 """Shared working folder: lineage cuts and intermediate tables.
 
-A cluster names the folder in ``spark.checkpoint.dir``.  Only a local session
-that names none (tests, a laptop) gets a temporary one.
+A cluster names the folder in ``spark.checkpoint.dir``.  Where it is unset, a
+folder below the warehouse is used, on every master alike.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,14 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    known = context.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tasteforge-"))
-    return context.getCheckpointDir().rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_working"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -35,9 +29,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     spark = df.sparkSession
-    folder = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
@@ -48,8 +41,36 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     instead of running the plan above it again.
     """
     path = fresh_path(df.sparkSession, name)
+    for scope in _SCOPES:
+        scope.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete, at the end, every table that ``stage`` writes inside.
+
+    Only for work whose results are written or collected before the scope ends:
+    a lazy DataFrame that leaves it still reads its tables.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            remove_path(spark, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete through Hadoop's file system, which serves every kind of store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
