@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tasteforge.llm import chat, language_id, mixture, quality_rules, secret_scan, url_filter
+from tasteforge.llm import bpe, chat, fingerprints, language_id, mixture, quality_rules, secret_scan, url_filter
 from tasteforge.llm.common import documents
 
 QUERIES: dict = {}
@@ -27,12 +27,28 @@ def query(name: str):
     return register
 
 
+@query("op1_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text")))
+    return decoded.select(
+        "doc_id",
+        F.size("input_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op2_language_id")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op5_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query("op6_url_filter")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
