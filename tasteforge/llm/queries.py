@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tasteforge.llm import bpe, chat, fingerprints, language_id, mixture, quality_rules, secret_scan, url_filter
+from tasteforge.llm import bpe, chat, fingerprints, language_id, mixture, near_dedup, quality_rules, secret_scan, url_filter
 from tasteforge.llm.common import documents
 
 QUERIES: dict = {}
@@ -44,6 +44,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op4_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query("op5_fingerprints")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(documents(spark, sf_dir).select("doc_id", "text"))
