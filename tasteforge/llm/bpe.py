@@ -30,7 +30,6 @@ doc_id, are encoded each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,11 +39,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tasteforge.llm.common import tasks
+from tasteforge.llm.blocks import block_count, pack, unpacked
 
 BLOCK_BYTES = 16_000_000
 SUB_BATCH = 2_000_000
-PACKED = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
 def default_path() -> str:
@@ -66,38 +64,6 @@ def tokenizer(path: str):
     return own
 
 
-def compressed(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def pack(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, docs): documents of one block, as they come, in compressed batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = batch["block"].to_numpy()
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
-            keys, packed = [], []
-            for rows in np.split(order, cuts):
-                if len(rows):
-                    keys.append(int(block[rows[0]]))
-                    packed.append(compressed(batch.select(["doc_id", "text"]).take(pa.array(rows)).cast(PACKED)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(packed, pa.binary())], names=["block", "docs"])
-
-    block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("block")), F.lit(blocks)).cast("int")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), block.alias("block"))
-    return chosen.mapInArrow(run, "block int, docs binary").repartition(blocks, "block")
-
-
-def unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    for packed in table["docs"]:
-        yield from pa.ipc.open_stream(packed.as_buffer())
-
-
 def word_lists(table: pa.Table, buckets: int) -> dict[int, list[bytes]]:
     """The block's distinct words by bucket, sorted: the same each time it is asked for."""
     words: set[bytes] = set()
@@ -114,8 +80,7 @@ def word_lists(table: pa.Table, buckets: int) -> dict[int, list[bytes]]:
 def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, input_ids): one row per row of ``docs``."""
     path = path or default_path()
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(tasks(docs.sparkSession), math.ceil(total / block_bytes))
+    n = block_count(docs, block_bytes)
     blocks = pack(docs, n)
 
     def words(table: pa.Table) -> pa.Table:

@@ -85,7 +85,7 @@ def band_hashes(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return total
 
 
-def sketch_documents(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+def sketch_documents(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands); no set_key and bands without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +94,8 @@ def sketch_documents(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 sets = [shingle_set(t or b"", codes, width) for t in part["text"].to_pylist()]
-                bands = band_hashes(sketches(sets)).astype(np.int64)
-                lists = pa.array([b if len(s) else None for s, b in zip(sets, bands, strict=True)], pa.list_(pa.int64()))
+                hashes = band_hashes(sketches(sets, bands * rows), bands).astype(np.int64)
+                lists = pa.array([b if len(s) else None for s, b in zip(sets, hashes, strict=True)], pa.list_(pa.int64()))
                 keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], sizes, keys, lists], names=["doc_id", "n_shingles", "set_key", "bands"])
@@ -213,9 +213,13 @@ def search_open(opened: DataFrame, sets: DataFrame, threshold: int = THRESHOLD)
     return queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per doc_id."""
-    known = stage(sketch_documents(docs, width).dropDuplicates(["doc_id"]), "sketches")
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per doc_id.
+
+    A pair of similarity s shares no band with probability (1 - s^rows)^bands:
+    choose them so that this is negligible at the threshold (in hundredths).
+    """
+    known = stage(sketch_documents(docs, width, bands, rows).dropDuplicates(["doc_id"]), "sketches")
     filled = known.filter("n_shingles > 0")
     classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")

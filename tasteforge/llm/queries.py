@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tasteforge.llm import bpe, chat, fingerprints, language_id, mixture, near_dedup, quality_rules, secret_scan, url_filter
+from tasteforge.llm import bpe, chat, fingerprints, language_id, mixture, near_dedup, quality_rules, secret_scan, substring_dedup, url_filter
 from tasteforge.llm.common import documents
 
 QUERIES: dict = {}
@@ -44,6 +44,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
