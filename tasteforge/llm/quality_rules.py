@@ -49,7 +49,7 @@ def _share(pattern: str) -> Column:
 
 
 RULES = (
-    Rule("mean word length outside 2..20", lambda: ~(F.col("word_chars") / F.col("n_words")).between(2, 20)),
+    Rule("mean word length outside 2..20", lambda: ~(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))).between(2, 20)),
     Rule("more than one symbol in ten characters", lambda: 10 * F.col("n_symbols") > F.col("word_chars")),
     Rule("more than half of the lines repeated", lambda: 2 * F.col("n_dup_lines") > F.size(F.split("text", "\n"))),
     Rule("fewer than six letters in ten characters", lambda: _share(r"\p{L}") < 0.6),
