@@ -47,6 +47,11 @@ def pack(docs: DataFrame, blocks: int) -> DataFrame:
     return chosen.mapInArrow(run, "block int, docs binary").repartition(blocks, "block")
 
 
+def opened(packed: pa.Scalar) -> pa.RecordBatch:
+    """The one batch that ``compressed`` has packed."""
+    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+
+
 def unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
     for packed in table["docs"]:
         yield from pa.ipc.open_stream(packed.as_buffer())

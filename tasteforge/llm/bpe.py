@@ -39,10 +39,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tasteforge.llm.blocks import block_count, pack, unpacked
+from tasteforge.llm.blocks import block_count, compressed, opened, pack, unpacked
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 SUB_BATCH = 2_000_000
+DECODE_ROWS = 512
 
 
 def default_path() -> str:
@@ -86,36 +87,33 @@ def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BY
     def words(table: pa.Table) -> pa.Table:
         lists = word_lists(table, n)
         block = table["block"][0].as_py() if len(table) else None
-        return pa.table({"block": pa.array([block] * len(lists), pa.int32()), "bucket": pa.array(list(lists), pa.int32()), "words": pa.array(list(lists.values()), pa.list_(pa.binary()))})
+        packed = [compressed(pa.record_batch({"word": pa.array(x, pa.binary())})) for x in lists.values()]
+        return pa.table({"block": pa.array([block] * len(lists), pa.int32()), "bucket": pa.array(list(lists), pa.int32()), "words": pa.array(packed, pa.binary())})
 
     def encode_bucket(table: pa.Table) -> pa.Table:
-        lists = table["words"].combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        lists = [opened(packed)["word"] for packed in table["words"]]
+        coded = pa.concat_arrays(lists).dictionary_encode()
         ids = [e.ids for e in tokenizer(path).encode_batch([w.decode() for w in coded.dictionary.to_pylist()], add_special_tokens=False)]
         flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         begins = np.concatenate([[0], np.cumsum(sizes)])
         index = coded.indices.to_numpy()
-        row_sizes = sizes[index]
-        places = spread(begins[index], row_sizes)
-        word_ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        id_ends = np.concatenate([[0], np.cumsum(row_sizes)])[word_ends]
-        return pa.table(
-            {
-                "block": table["block"],
-                "bucket": table["bucket"],
-                "sizes": pa.ListArray.from_arrays(pa.array(word_ends.astype(np.int32)), pa.array(row_sizes)),
-                "ids": pa.ListArray.from_arrays(pa.array(id_ends.astype(np.int32)), pa.array(flat[places])),
-            }
-        )
+        packed, at = [], 0
+        for words in lists:
+            own = index[at : at + len(words)]
+            at += len(words)
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[own])]).astype(np.int32)), pa.array(flat[spread(begins[own], sizes[own])]))
+            packed.append(compressed(pa.record_batch({"ids": rows})))
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "ids": pa.array(packed, pa.binary())})
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
         lists = word_lists(left, n)
         order = np.argsort(right["bucket"].to_numpy())
         place = {w: k for k, w in enumerate(w for words in lists.values() for w in words)}
         empty = np.zeros(0, np.int32)
-        gather = lambda name: np.concatenate([empty, *(right[name][int(k)].values.to_numpy() for k in order)])
-        sizes, flat = gather("sizes"), gather("ids")
+        returned = [opened(right["ids"][int(k)])["ids"] for k in order]
+        flat = np.concatenate([empty, *(r.values.to_numpy() for r in returned)])
+        sizes = np.concatenate([empty, *(np.diff(r.offsets.to_numpy()) for r in returned)])
         if len(sizes) != len(place):
             raise RuntimeError(f"{len(place)} words, ids for {len(sizes)}")
         begins = np.concatenate([[0], np.cumsum(sizes)])
@@ -138,8 +136,8 @@ def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BY
         ends = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))]).astype(np.int32)
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "input_ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([empty, *parts])))})
 
-    lists = blocks.groupBy("block").applyInArrow(words, "block int, bucket int, words array<binary>")
-    ids = lists.groupBy("bucket").applyInArrow(encode_bucket, "block int, bucket int, sizes array<int>, ids array<int>")
+    lists = blocks.groupBy("block").applyInArrow(words, "block int, bucket int, words binary")
+    ids = lists.groupBy("bucket").applyInArrow(encode_bucket, "block int, bucket int, ids binary")
     return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(join_back, "doc_id long, input_ids array<int>")
 
 
@@ -160,7 +158,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         own = tokenizer(path)
         size = own.get_vocab_size(with_added_tokens=True)
         pieces = pa.array([own.id_to_token(i) for i in range(size)], pa.string())
-        for batch in batches:
+        for batch in (b.slice(k, DECODE_ROWS) for b in batches for k in range(0, b.num_rows, DECODE_ROWS)):
             column = pc.fill_null(batch["input_ids"], pa.scalar([], pa.list_(pa.int32())))
             flat = column.flatten()
             joined = pieces.take(pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, size)), flat, None))
