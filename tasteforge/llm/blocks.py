@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tasteforge.llm.common import tasks
 
+LEVEL = 3
 PACKED = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
@@ -22,7 +23,7 @@ def block_count(docs: DataFrame, block_bytes: int) -> int:
 
 def compressed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tasteforge.llm.blocks import block_count, compressed, opened, pack, unpacked
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 12_000_000
 SUB_BATCH = 2_000_000
 DECODE_ROWS = 512
 
@@ -81,6 +81,8 @@ def word_lists(table: pa.Table, buckets: int) -> dict[int, list[bytes]]:
 def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, input_ids): one row per row of ``docs``."""
     path = path or default_path()
+    if tokenizer(path).get_vocab_size(with_added_tokens=True) > 1 << 16:
+        raise ValueError("ids travel as 16-bit numbers; this vocabulary needs more")
     n = block_count(docs, block_bytes)
     blocks = pack(docs, n)
 
@@ -102,7 +104,7 @@ def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BY
         for words in lists:
             own = index[at : at + len(words)]
             at += len(words)
-            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[own])]).astype(np.int32)), pa.array(flat[spread(begins[own], sizes[own])]))
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[own])]).astype(np.int32)), pa.array(flat[spread(begins[own], sizes[own])].astype(np.uint16)))
             packed.append(compressed(pa.record_batch({"ids": rows})))
         return pa.table({"block": table["block"], "bucket": table["bucket"], "ids": pa.array(packed, pa.binary())})
 
@@ -112,7 +114,7 @@ def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BY
         place = {w: k for k, w in enumerate(w for words in lists.values() for w in words)}
         empty = np.zeros(0, np.int32)
         returned = [opened(right["ids"][int(k)])["ids"] for k in order]
-        flat = np.concatenate([empty, *(r.values.to_numpy() for r in returned)])
+        flat = np.concatenate([empty, *(r.values.to_numpy().astype(np.int32) for r in returned)])
         sizes = np.concatenate([empty, *(np.diff(r.offsets.to_numpy()) for r in returned)])
         if len(sizes) != len(place):
             raise RuntimeError(f"{len(place)} words, ids for {len(sizes)}")
