@@ -82,9 +82,13 @@ def repeated_words(words: Column, width: int = REPEAT_WIDTH) -> Column:
         )
         return let(F.sort_array(F.transform(same, lambda x: x["p"])), spans)
 
+    def of_windows(w: Column) -> Column:
+        # Most texts repeat nothing, which the number of distinct windows tells without a sort.
+        pairs = F.transform(w, lambda h, p: F.struct(h.alias("h"), p.alias("p")))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(F.sort_array(pairs), covered))
+
     def of_hashes(h: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda p: F.struct(F.xxhash64(F.slice(h, p, width)).alias("h"), p.alias("p")))
-        return let(F.sort_array(windows), covered)
+        return let(F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda p: F.xxhash64(F.slice(h, p, width))), of_windows)
 
     return F.when(F.size(words) > width, let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)).otherwise(F.lit(0)).cast("long")
 
@@ -108,13 +112,18 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def ordered_rules(measured: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Rules by rejection per cost on the sample: (rule, rejected share, seconds), best first.
+def sampled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents of the ``sample_rows`` lowest hashed doc_ids.
 
-    ``measured`` must hold the measures, doc_id and text.
+    Ids are sorted without their texts; the texts follow by a join with so many ids.
     """
-    sample = measured.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample_rows)
-    sample = stage(sample, "rule-sample")
+    ids = docs.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample_rows)
+    return docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+
+
+def ordered_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """Rules by rejection per cost on the sample: (rule, rejected share, seconds), best first."""
+    sample = stage(with_measures(sampled(docs, sample_rows)), "rule-sample")
     n = sample.count()
     found = []
     for rule in rules:
@@ -127,9 +136,7 @@ def ordered_rules(measured: DataFrame, rules: Sequence[Rule] = RULES, sample_row
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Add the measures, base_failed, kept and rejected_by (name of the rule, or "base")."""
     measured = with_measures(docs.drop("rejected_by"))
-    # Only the sampled texts are measured for the estimate: the sample is taken before.
-    head = docs.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample_rows)
-    order = ordered_rules(with_measures(head), rules, sample_rows)
+    order = ordered_rules(docs.select("doc_id", "text"), rules, sample_rows)
     verdict = F.lit(None).cast("string")
     for rule, _, _ in reversed(order):
         verdict = F.when(rule.rejects(), F.lit(rule.name)).otherwise(verdict)
