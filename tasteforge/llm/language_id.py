@@ -182,13 +182,11 @@ class Model:
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, steps: int = STEPS, path: str | None = None) -> Model:
     """Model from (doc_id, text, lang); rows with null lang or text are left out."""
     path = path or default_path()
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
-    sample = (
-        labelled.filter("lang is not null and text is not null")
-        .select("doc_id", "text", "lang")
-        .withColumn("_place", F.row_number().over(by_hash))
-        .filter(F.col("_place") <= fit_docs)
-    )
+    usable = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    # Ids are ranked without their texts and pruned in each task before they meet.
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+    ranked = usable.select("doc_id", "lang").withColumn("_place", F.row_number().over(by_hash)).filter(F.col("_place") <= fit_docs)
+    sample = usable.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
