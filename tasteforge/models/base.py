@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,6 +14,8 @@ from tasteforge.operators.sampling import CANDIDATE
 from tasteforge.sources.shared import stage
 
 COLD_START = ("keep", "drop", "nan")
+# Arguments that change how a model is worked out, not its numbers.
+LAYOUT = ("rows_per_slice", "cut_every")
 
 
 class Recommender:
@@ -57,15 +60,25 @@ class Recommender:
             scored = scored.withColumn("prediction", F.round("prediction", digits))
         return list_positions(rank_candidates(scored, top_n, strict, dedupe=False))
 
+    def identity(self) -> dict[str, object]:
+        """The parameters, and every further argument that changes the result and is not at its default."""
+        known = inspect.signature(type(self).__init__).parameters
+        more = {
+            name: getattr(self, name)
+            for name, argument in known.items()
+            if name not in self.params and name not in LAYOUT and hasattr(self, name) and getattr(self, name) != argument.default
+        }
+        return {**self.params, **more}
+
     @property
     def hyper(self) -> str:
         """Parameters as the log writes them."""
-        return hyper_text(self.params)
+        return hyper_text(self.identity())
 
     @property
     def dirname(self) -> str:
         """Parameters as a directory name."""
-        return params_dirname(self.params)
+        return params_dirname(self.identity())
 
     def check_fitted(self) -> None:
         if not self.tables and not self.scalars:

@@ -117,7 +117,8 @@ def mark_percent_rank(
     """Add ``is_test``: rows whose random percent rank within ``by`` is in bounds.
 
     The random number is a hash of ``row_key``; copies of a row tie and stay
-    together.  Both bounds count unless ``half_open``.  A group of one row has
+    together.  Both bounds count unless ``half_open``, which
+    leaves the upper one out, but for the last fold's 1: folds cover every row once.  A group of one row has
     percent rank 0.  The rank is monotone in the random number, so each group
     needs only the range of numbers it puts into the test set.
     """
@@ -126,7 +127,7 @@ def mark_percent_rank(
     counts = numbered.groupBy(by, "_u").agg(F.count(F.lit(1)).alias("_copies"))
     placed = positions(counts, [by], "_u", weight="_copies", rows_per_slice=rows_per_slice)
     rank = F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(F.lit(0.0))
-    inside = (rank >= low) & ((rank < high) if half_open else (rank <= high))
+    inside = (rank >= low) & ((rank < high) if half_open and high < 1 else (rank <= high))
     ranges = placed.filter(inside).groupBy(by).agg(F.min("_u").alias("_low"), F.max("_u").alias("_high"))
     marked = join_sliced(numbered, ranges, [by], "left", rows_per_slice=rows_per_slice)
     return marked.withColumn("is_test", F.coalesce(F.col("_u").between(F.col("_low"), F.col("_high")), F.lit(False))).select(

@@ -122,16 +122,16 @@ def _repeats(size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(SPREAD) / size)).cast("long")
 
 
-def drop_seen_test_pairs(candidates: DataFrame, train: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def drop_seen_test_pairs(candidates: DataFrame, train: DataFrame) -> DataFrame:
     """Candidates whose test pair does not occur in the training set."""
-    seen = train.select(USER, ITEM).distinct()
-    return join_sliced(candidates, seen, [USER, ITEM], "left_anti", rows_per_slice=rows_per_slice)
+    # A test pair has at most per_pair rows: no key is hot.
+    return candidates.join(train.select(USER, ITEM).distinct(), [USER, ITEM], "left_anti").select(*candidates.columns)
 
 
-def drop_seen_candidates(candidates: DataFrame, train: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def drop_seen_candidates(candidates: DataFrame, train: DataFrame) -> DataFrame:
     """Candidates that the user has not rated in the training set."""
     seen = train.select(USER, F.col(ITEM).alias(CANDIDATE)).distinct()
-    return join_sliced(candidates, seen, [USER, CANDIDATE], "left_anti", rows_per_slice=rows_per_slice)
+    return candidates.join(seen, [USER, CANDIDATE], "left_anti").select(*candidates.columns)
 
 
 def test_candidates(negatives: DataFrame) -> DataFrame:

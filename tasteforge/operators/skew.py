@@ -3,14 +3,16 @@
 One user or item may own a third of a table.  Three tools keep such a key out
 of a single task:
 
-* ``hot_keys`` finds the heaviest keys, never more than ``MAX_HOT_KEYS``;
+* ``hot_keys`` finds every key that holds more than a slice: a sixteenth of a
+  task's even share of the rows, or ``rows_per_slice`` where that is more;
 * ``join_sliced`` cuts their rows into slices and repeats the other side once
   per slice, so that a join on the key is spread out;
 * ``positions`` numbers rows inside a group by counting slices of the group
   first, so that no window ever holds a whole hot group.
 
-Keys past the first ``MAX_HOT_KEYS`` are joined and numbered unsliced: each
-holds less than 1/``MAX_HOT_KEYS`` of the rows, and nothing is dropped.
+At most SLICES_PER_TASK keys per task can hold that much, so the table of hot
+keys is bounded by the number of tasks, without a limit that would leave a key
+out, and no slice is larger than the threshold.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_HOT_KEYS = 4096
-MAX_SLICES = 4096
+SLICES_PER_TASK = 16
 ROWS_PER_SLICE = 1_000_000
 
 SLICE = "_slice"
@@ -28,17 +29,16 @@ SLICES = "_slices"
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """The heaviest keys with their number of slices; at most MAX_HOT_KEYS rows.
+    """Every key with more rows than a slice, and its number of slices.
 
-    The count is partial on the map side, so a hot key costs one row per task.
+    The count is partial on the map side, so a hot key costs one row per task;
+    the total is a scalar subquery over the same counts.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        counts.filter(F.col("_n") > rows_per_slice)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.least(F.ceil(F.col("_n") / rows_per_slice), F.lit(MAX_SLICES)).cast("int").alias(SLICES))
-    )
+    total = counts.agg(F.sum("_n").alias("_all")).scalar()
+    sized = counts.withColumn("_slice_rows", F.greatest(F.lit(float(rows_per_slice)), total / (SLICES_PER_TASK * tasks)))
+    return sized.filter(F.col("_n") > F.col("_slice_rows")).select(*keys, F.ceil(F.col("_n") / F.col("_slice_rows")).cast("int").alias(SLICES))
 
 
 def with_slices(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def join_chain(
     ``df``, where it mostly leaves plain joins.
     """
     find = pin_hot_keys if pin else hot_keys
-    hot = {tuple(keys): find(df, keys, rows_per_slice) for _, keys, _ in steps}
+    hot = {keys: find(df, keys, rows_per_slice) for keys in dict.fromkeys(tuple(keys) for _, keys, _ in steps)}
     for right, keys, how in steps:
         df = join_sliced(df, right, keys, how, hot[tuple(keys)])
     return df
@@ -151,7 +151,7 @@ def _before(total: Column, window) -> Column:
 def pin_hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """``hot_keys`` worked out at once, for tables that are joined often.
 
-    The result is a local table of at most MAX_HOT_KEYS rows.  When no key is
+    The result is a local table of at most SLICES_PER_TASK rows per task.  When no key is
     hot it is empty, and Spark removes the slicing from later plans.  A table
     with no more rows than a slice has no hot key: for a stored table that
     count reads the file footers only.

@@ -173,13 +173,13 @@ def model_bpr_predict(spark, sf_dir):
     return model.transform(candidates.withColumnRenamed("candidate_id", "business_id"))
 
 
-@query("factors_roundtrip")
+@query("factors_roundtrip", "rated", "select user_id, business_id, stars, round(prediction, 6) as prediction from rated")
 def factors_roundtrip(spark, sf_dir):
     train, test = data.split(spark, sf_dir)
     path = fresh_path(spark, "bias-model")
     bias_model().fit(train).save(path)
     model = bias_model().load(spark, path, ["users", "items"])
-    return model.transform(test.select("user_id", "business_id", "stars"))
+    return model.transform(test.select("user_id", "business_id", "stars")).withColumn("prediction", F.round("prediction", 6))
 
 
 @query(

@@ -78,3 +78,14 @@ def test_long_lists_come_in_parts(skewed):
         r.v for r in skewed.filter("k = 'k0'").collect()
     )
     assert lists.filter("k <> 'k0'").groupBy("k").count().filter("count > 1").isEmpty()
+
+
+def test_every_heavy_key_is_sliced(spark):
+    """Ten thousand heavy keys of equal weight: no limit leaves one out."""
+    rows = spark.range(200_000).selectExpr("concat('k', cast(id % 10000 as string)) as k", "id as v")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        hot = hot_keys(rows, ["k"], 7)
+        assert hot.count() == 10_000 and hot.filter("_slices < 2").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
