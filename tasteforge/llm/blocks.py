@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tasteforge.llm.common import tasks
+from tasteforge.llm.common import few_rows, tasks
 
 LEVEL = 3
 PACKED = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
@@ -45,7 +45,7 @@ def pack(docs: DataFrame, blocks: int) -> DataFrame:
 
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("block")), F.lit(blocks)).cast("int")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), block.alias("block"))
-    return chosen.mapInArrow(run, "block int, docs binary").repartition(blocks, "block")
+    return chosen.transform(few_rows).mapInArrow(run, "block int, docs binary").repartition(blocks, "block")
 
 
 def opened(packed: pa.Scalar) -> pa.RecordBatch:

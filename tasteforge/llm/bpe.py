@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tasteforge.llm.blocks import block_count, compressed, opened, pack, unpacked
+from tasteforge.llm.common import few_rows
 
 BLOCK_BYTES = 12_000_000
 SUB_BATCH = 2_000_000
@@ -172,7 +173,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pc.binary_join(lists, " ")], names=[*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
-    return chosen.mapInArrow(run, f"{schema}, decoded string")
+    return chosen.transform(few_rows).mapInArrow(run, f"{schema}, decoded string")
 
 
 def _offsets(column: pa.ListArray) -> pa.Array:

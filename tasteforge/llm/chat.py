@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tasteforge.llm.common import few_rows
+
 VOCABULARY = 50_256
 TURN, TEXT, END = VOCABULARY, VOCABULARY + 1, VOCABULARY + 2
 MARKERS = {TURN: "<|turn|>", TEXT: "<|text|>", END: "<|end|>\n"}
@@ -114,7 +116,7 @@ def format_turns(conversations: DataFrame, path: str | None = None) -> DataFrame
             columns = [batch["conv_id"], batch["turn"], pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(mask))]
             yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "input_ids", "loss_mask"])
 
-    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(run, FORMATTED)
+    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").transform(few_rows).mapInArrow(run, FORMATTED)
 
 
 READ = "conv_id long, turn long, role string, text string, loss_text string, formatted_chars long"
@@ -143,7 +145,7 @@ def read_turns(formatted: DataFrame, path: str | None = None) -> DataFrame:
                 out["formatted_chars"].append(len(role) + len(text) + sum(len(MARKERS[int(i)]) for i in ids[ids >= VOCABULARY]))
             yield pa.RecordBatch.from_pydict({"conv_id": batch["conv_id"], "turn": batch["turn"], **out}, schema=_schema(READ_TYPES))
 
-    return formatted.mapInArrow(run, READ)
+    return formatted.transform(few_rows).mapInArrow(run, READ)
 
 
 READ_TYPES = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string(), "loss_text": pa.string(), "formatted_chars": pa.int64()}
@@ -189,7 +191,7 @@ def digest_conversations(turns: DataFrame) -> DataFrame:
             yield _digests([closed()])
 
     sorted_turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_turns.select("conv_id", "role", "text", "loss_text", "formatted_chars").mapInArrow(run, DIGEST)
+    return sorted_turns.select("conv_id", "role", "text", "loss_text", "formatted_chars").transform(few_rows).mapInArrow(run, DIGEST)
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:

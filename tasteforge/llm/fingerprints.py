@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tasteforge.llm.common import mixed, tasks
+from tasteforge.llm.common import few_rows, mixed, tasks
 
 WINDOW = 64
 RUN = 64
@@ -102,7 +102,7 @@ def entropy_counts(docs: DataFrame) -> np.ndarray:
                 total += np.bincount(laid.entropy[laid.inside], minlength=BUCKETS + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1, dtype=np.int32)), pa.array(total)], names=["entropy", "n"])
 
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "entropy int, n long")
+    counted = docs.select(F.col("text").cast("binary").alias("text")).transform(few_rows).mapInArrow(run, "entropy int, n long")
     out = np.zeros(BUCKETS + 1, np.int64)
     for row in counted.groupBy("entropy").agg(F.sum("n").alias("n")).collect():
         out[row["entropy"]] = row["n"]
@@ -262,4 +262,4 @@ def compare_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     texts, ids = ([], []) if halo else (texts[-1:], ids[-1:])
                     size = sum(map(len, texts))
 
-    return with_next(docs, parts).select("doc_id", "text", "halo").mapInArrow(run, EDITED)
+    return with_next(docs, parts).select("doc_id", "text", "halo").transform(few_rows).mapInArrow(run, EDITED)

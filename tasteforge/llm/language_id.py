@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tasteforge.llm.common import few_rows
 from tasteforge.sources.shared import stage
 
 FIT_DOCS = 1500
@@ -198,7 +199,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, steps: int = STEPS, path:
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(counts.values(), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    counted = sample.select("lang", "text").transform(few_rows).mapInArrow(count, "lang string, word string, n long")
     words = stage(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     table = pieces(path)
@@ -240,7 +241,7 @@ def expected_counts(words: DataFrame, model: Model) -> DataFrame:
                 [pa.array([lang_name] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(total[found, own])], names=["lang", "piece", "n"]
             )
 
-    return words.mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    return words.transform(few_rows).mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -274,7 +275,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(values, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
-    return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return chosen.transform(few_rows).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, fit_docs: int = FIT_DOCS, steps: int = STEPS, path: str | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tasteforge.llm.common import ASCII_LOWER, WordCodes, mixed, window_hashes
+from tasteforge.llm.common import ASCII_LOWER, WordCodes, few_rows, mixed, window_hashes
 from tasteforge.llm.components import components
 from tasteforge.sources.shared import stage
 
@@ -100,7 +100,7 @@ def sketch_documents(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS,
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], sizes, keys, lists], names=["doc_id", "n_shingles", "set_key", "bands"])
 
-    return as_bytes(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return as_bytes(docs).transform(few_rows).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def as_bytes(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFra
             sets = [shingle_set(t or b"", codes, width).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return as_bytes(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return as_bytes(docs).join(wanted, "doc_id", "left_semi").transform(few_rows).mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
@@ -137,7 +137,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
 
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "one", "other").transform(few_rows).mapInArrow(run, "a long, b long")
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tasteforge.llm.common import few_rows
 from tasteforge.sources.shared import stage
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -85,7 +86,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 more.append([dict(zip(names, s, strict=True)) for s in candidates(text, spans)] if text else [])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(base, SPAN_TYPE), pa.array(more, SPAN_TYPE)], names=["doc_id", "base", "candidates"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCAN)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(few_rows).mapInArrow(run, SCAN)
 
 
 def symbol(c: str) -> str:
@@ -244,7 +245,7 @@ def find_secrets(docs: DataFrame, fit_values: int = FIT_VALUES, alpha: float = A
                 spans.append(sorted(found, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["base"].cast(SPAN_TYPE), pa.array(spans, SPAN_TYPE)], names=["doc_id", "base", "spans"])
 
-    return scanned.mapInArrow(run, f"doc_id long, base array<{SPAN}>, spans array<{SPAN}>")
+    return scanned.transform(few_rows).mapInArrow(run, f"doc_id long, base array<{SPAN}>, spans array<{SPAN}>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHOLD, **fitting) -> DataFrame:
@@ -265,7 +266,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHOLD
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(few_rows).mapInArrow(run, docs.schema)
 
 
 def _without(text: str, automata: dict, plain: dict, threshold: float, mark: str) -> str:

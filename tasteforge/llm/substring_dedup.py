@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tasteforge.llm.automaton import SuffixAutomaton
 from tasteforge.llm.blocks import block_count, pack, unpacked
-from tasteforge.llm.common import WordCodes, mixed, window_hashes
+from tasteforge.llm.common import WordCodes, few_rows, mixed, window_hashes
 
 WIDTH = 13
 ANCHOR = 5
@@ -331,7 +331,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, width: int = WIDTH,
             columns[at] = pa.array([cleaned(t, [s.value for s in shared], width) if t else t for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(few_rows).mapInArrow(run, docs.schema)
 
 
 def built(texts: list[list[bytes]]) -> SuffixAutomaton:
