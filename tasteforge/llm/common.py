@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # A word is a run of [^\x20\x09-\x0D]; the six characters are those that bytes.split() cuts at.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-ARROW_ROWS = 1000
+ARROW_ROWS = 250
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -50,7 +50,7 @@ def word_count(text: str | Column) -> Column:
 class WordCodes(dict):
     """64-bit hash of each word, remembered; emptied when it holds ``limit`` words, which changes no result."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

@@ -43,7 +43,7 @@ OTHER = 1e-6
 SMOOTHING = 0.05
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 
 def default_path() -> str:

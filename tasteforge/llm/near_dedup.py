@@ -131,8 +131,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, other = ([np.frombuffer(s, np.uint64) for s in batch[c].to_pylist()] for c in ("one", "other"))
-            keep = pa.array([similar(x, y, threshold) for x, y in zip(one, other, strict=True)], pa.bool_())
+            # Sets are read where they lie in the batch, without a copy.
+            pairs_of_sets = zip(batch["one"], batch["other"], strict=True)
+            keep = pa.array([similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), threshold) for pair in pairs_of_sets], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
