@@ -244,6 +244,18 @@ def expected_counts(words: DataFrame, model: Model) -> DataFrame:
     return words.transform(few_rows).mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows: new words are scored together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Add lang_pred and score; text and rows are left as they are."""
     shared = docs.sparkSession.sparkContext.broadcast((model.path, model.languages, model.probability))
@@ -255,7 +267,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         own = Model(*shared.value)
         known: dict[str, int] = {}
         scores = np.zeros((0, len(own.languages)))
-        for batch in batches:
+        for batch in gathered(batches):
             texts = [runs(t) if t else [] for t in batch.column(at).to_pylist()]
             if len(known) > CACHED_WORDS:
                 known, scores = {}, scores[:0]
