@@ -28,8 +28,10 @@ BANDS, ROWS = 64, 6
 
 
 def identify_language(spark: SparkSession, docs: Frame, sf_dir: str) -> Frame:
-    found = language_id.identify(docs)
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    # Columns of the documents that are named like an output step aside meanwhile.
+    given = {c: f"_given_{c}" for c in docs.columns if c in language_id.OUTPUTS}
+    found = language_id.identify(docs.withColumnsRenamed(given)).filter(F.col("lang_pred") != language_id.UNDETERMINED)
+    return found.select(*[F.col(given.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: Frame, sf_dir: str) -> Frame:

@@ -42,6 +42,7 @@ MAX_PIECE = 16
 OTHER = 1e-6
 SMOOTHING = 0.05
 UNDETERMINED = "und"
+OUTPUTS = ("lang_pred", "score", "held_out")
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 100_000
 

@@ -354,6 +354,28 @@ def test_mixture_order(odd):
     assert {i: r["taken"] for i, r in rows(plan).items() if r["taken"]} == dict(words)
 
 
+def test_mixture_of_repeated_rows(spark, odd):
+    """Rows of one doc_id, copies and null ids keep their own share of the mix."""
+    more = spark.createDataFrame([(None, "a b c", "en", "n", 1, None, 0.1), (None, "d e f g", "en", "n", 1, None, 0.1), (6, "other words", "en", "a", 1, None, 0.1)], SCHEMA)
+    docs = odd.unionAll(odd.filter("doc_id in (6, 9, 14)")).unionAll(more)
+    plan = mixture.mix(docs)
+    words, wanted = Counter(), Counter()
+    for r in mixture.order_by_position(docs, plan).collect():
+        words[r["doc_id"]] += len(words_of(r["text"]))
+    for r in plan.collect():
+        wanted[r["doc_id"]] += r["taken"]
+    assert words == +wanted
+    assert plan.count() == docs.count()
+
+
+def test_language_stage_keeps_columns(spark, odd):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.identify_language(spark, odd, SF_DIR)
+    assert kept.columns == odd.columns
+    assert {r["score"] for r in kept.collect()} == {0.5}
+
+
 def measures_by_hand(text):
     text = text or ""
     words = words_of(text)
