@@ -11,7 +11,7 @@ from tasteforge.sources import views
 from tasteforge.sources.shared import stage
 
 USER_AT_LEAST, ITEM_AT_LEAST = 10, 1
-NEGATIVES = 5
+NEGATIVES = 200
 SEED = 7
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+from itertools import product
+
+from pyspark.sql import DataFrame, functions as F
 
 from tasteforge.functions.hashing import uniform_sql
 from tasteforge.models.bias import BiasModel
@@ -21,13 +24,13 @@ from tasteforge.plans.registry import query, rounded, step
 from tasteforge.sources import views
 from tasteforge.sources.shared import fresh_path, stage
 
-EPOCHS = 2
+EPOCHS = 10
 DIGITS = 6
 TOP_N = 50
 
 
 def bias_steps(tag: str, reg_i: float, reg_u: float) -> None:
-    """Steps bi1, bu1, bi2, bu2 (with a tag) and the scores of test pairs and candidates."""
+    """Steps bi1, bu1, bi2, bu2, ... (with a tag) and the scores of test pairs and candidates."""
     step(f"mean{tag}", "train", "select avg(stars) as mean from train")
     before_u = ""
     for epoch in range(1, EPOCHS + 1):
@@ -57,8 +60,11 @@ def bias_steps(tag: str, reg_i: float, reg_u: float) -> None:
         )
 
 
-bias_steps("", 10, 15)
-bias_steps("_b", 5, 5)
+GRID = {"reg_i": [10, 5], "reg_u": [15, 5]}
+# The first point is that of the other queries.
+GRID_TAGS = {(i, u): f"_{i}_{u}" if n else "" for n, (i, u) in enumerate(product(GRID["reg_i"], GRID["reg_u"]))}
+for (reg_i, reg_u), tag in GRID_TAGS.items():
+    bias_steps(tag, reg_i, reg_u)
 
 step(
     "ranked",
@@ -298,24 +304,19 @@ def evaluate_model(spark, sf_dir):
 
 @query(
     "grid_sweep",
-    "rated rated_b",
-    "select '[(''n_epochs'', 2), (''reg_i'', 10), (''reg_u'', 15)]' as hyper, 'rmse' as metric,"
-    " round(sqrt(avg(pow(stars - prediction, 2))), 6) as value from rated"
-    " union all select '[(''n_epochs'', 2), (''reg_i'', 5), (''reg_u'', 5)]', 'rmse',"
-    " round(sqrt(avg(pow(stars - prediction, 2))), 6) from rated_b",
+    " ".join(f"rated{tag}" for tag in GRID_TAGS.values()),
+    " union all ".join(
+        f"select '[(''n_epochs'', {EPOCHS}), (''reg_i'', {i}), (''reg_u'', {u})]' as hyper, 'rmse' as metric,"
+        f" round(sqrt(avg(pow(stars - prediction, 2))), 6) as value from rated{tag}"
+        for (i, u), tag in GRID_TAGS.items()
+    ),
 )
 def grid_sweep(spark, sf_dir):
     train, test = data.split(spark, sf_dir)
-    test = test.select("user_id", "business_id", "stars")
-    pairs = ((10, 15), (5, 5))
-    frames = None
-    for reg_i, reg_u in pairs:
-        runs = sweep(
-            BiasModel, {"reg_i": [reg_i], "reg_u": [reg_u], "n_epochs": [EPOCHS]},
-            spark=spark, train=train, test=test, candidates=None, root=fresh_path(spark, "runs"),
-            dataset="user_10_item_1_exp", metrics=("rmse",),
-        )
-        for model, found in runs:
-            frame = metric_frame(spark, found, hyper=model.hyper)
-            frames = frame if frames is None else frames.unionByName(frame)
-    return frames
+    runs = sweep(
+        BiasModel, {**GRID, "n_epochs": [EPOCHS]},
+        spark=spark, train=train, test=test.select("user_id", "business_id", "stars"), candidates=None,
+        root=fresh_path(spark, "runs"), dataset="user_10_item_1_exp", metrics=("rmse",),
+    )
+    # One row per point of the grid.
+    return reduce(DataFrame.unionByName, [metric_frame(spark, found, hyper=model.hyper) for model, found in runs])
