@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tasteforge.functions.hashing import uniform
 from tasteforge.operators.skew import ROWS_PER_SLICE, SLICE, SLICES, add_slice, pin_hot_keys, repeat_slices
 from tasteforge.sources.shared import cut_lineage, stage
 
@@ -77,9 +78,8 @@ class _Problem:
         """Small hashed factors for every id of a side."""
         ids = self.entries.select(side).distinct()
         steps = F.sequence(F.lit(1), F.lit(self.k))
-        bits = 1 << 20
         spread = 2.0 / self.k**0.5
-        value = lambda j: (F.pmod(F.xxhash64(F.col(side), j, F.lit(seed)), F.lit(bits)) / bits - 0.5) * spread
+        value = lambda j: (uniform(seed, side, j) - 0.5) * spread
         factors = cut_lineage(ids.select(side, F.transform(steps, value).alias("factor")))
         self.sizes[side] = factors.count()
         return factors

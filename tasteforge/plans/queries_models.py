@@ -18,7 +18,7 @@ from tasteforge.operators import metrics as met
 from tasteforge.operators.features import predictions_backfill
 from tasteforge.operators.prep import user_features
 from tasteforge.operators.ranking import rank_candidates, recommend_lists
-from tasteforge.plans import data
+from tasteforge.plans import data, model_steps
 from tasteforge.plans.evaluate import evaluate, sweep
 from tasteforge.plans.registry import query, rounded, step
 from tasteforge.sources import views
@@ -66,6 +66,21 @@ GRID_TAGS = {(i, u): f"_{i}_{u}" if n else "" for n, (i, u) in enumerate(product
 for (reg_i, reg_u), tag in GRID_TAGS.items():
     bias_steps(tag, reg_i, reg_u)
 
+TRAINED = 3
+FM_RATE, BPR_RATE = 0.2, 0.1
+model_steps.mf_steps(0.1, TRAINED)
+model_steps.cmf_steps(0.1, TRAINED, 0.3, 0.2)
+model_steps.fm_steps(4, 2, FM_RATE, 0.1, 0.5)
+model_steps.bpr_steps(4, 8, BPR_RATE, 0.001)
+
+
+def rated_sql(table: str, columns: str = "user_id, business_id, stars") -> str:
+    return f"select {columns}, round(prediction, {DIGITS}) as prediction from {table}"
+
+
+def rounded_predictions(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("prediction", F.round("prediction", DIGITS))
+
 step(
     "ranked",
     "scored",
@@ -150,6 +165,14 @@ def model_mf_predict(spark, sf_dir):
     return model.transform(test.select("user_id", "business_id", "stars"))
 
 
+# Two factors, whose normal equations have a closed form in SQL.
+@query("model_mf_rank2", "mf_rated", rated_sql("mf_rated"))
+def model_mf_rank2(spark, sf_dir):
+    train, test = data.split(spark, sf_dir)
+    model = BiasedMF(n_factors=2, reg_all=0.1, n_epochs=TRAINED).fit(train)
+    return rounded_predictions(model.transform(test.select("user_id", "business_id", "stars")))
+
+
 def side_tables(spark, sf_dir):
     return user_features(views.users(spark, sf_dir)), data.features(spark, sf_dir)
 
@@ -164,19 +187,29 @@ def model_cmf_predict(spark, sf_dir):
     return model.transform(test.select("user_id", "business_id", "stars"))
 
 
-@query("model_fm_predict")
+@query("model_cmf_rank2", "cmf_rated", rated_sql("cmf_rated"))
+def model_cmf_rank2(spark, sf_dir):
+    train, test = data.split(spark, sf_dir)
+    model = CollectiveMF(
+        k=2, reg_param=0.1, w_main=1.0, use_user_info=True, use_item_info=True, iterations=TRAINED, standardise=True
+    )
+    model.fit(train, *side_tables(spark, sf_dir))
+    return rounded_predictions(model.transform(test.select("user_id", "business_id", "stars")))
+
+
+@query("model_fm_predict", "fm_rated", rated_sql("fm_rated"))
 def model_fm_predict(spark, sf_dir):
     train, test = data.split(spark, sf_dir)
-    model = FactorisationMachine(n_iter=4, rank=2, model_info_used="Both")
+    model = FactorisationMachine(n_iter=4, rank=2, model_info_used="Both", rate=FM_RATE)
     model.fit(train, *side_tables(spark, sf_dir))
-    return model.transform(test.select("user_id", "business_id", "stars"))
+    return rounded_predictions(model.transform(test.select("user_id", "business_id", "stars")))
 
 
-@query("model_bpr_predict")
+@query("model_bpr_predict", "bpr_scored", rated_sql("bpr_scored", "user_id, business_id"))
 def model_bpr_predict(spark, sf_dir):
     train, test, candidates = bias_inputs(spark, sf_dir)
-    model = BPR(factors=8, iteration=4, regularization=0.001).fit(train)
-    return model.transform(candidates.withColumnRenamed("candidate_id", "business_id"))
+    model = BPR(factors=8, iteration=4, regularization=0.001, learning_rate=BPR_RATE).fit(train)
+    return rounded_predictions(model.transform(candidates.withColumnRenamed("candidate_id", "business_id")))
 
 
 @query("factors_roundtrip", "rated", "select user_id, business_id, stars, round(prediction, 6) as prediction from rated")
