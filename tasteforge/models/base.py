@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,6 +14,7 @@ from tasteforge.operators.ranking import list_positions, rank_candidates
 from tasteforge.operators.sampling import CANDIDATE
 from tasteforge.sources.shared import stage
 
+ABOUT = "about"
 COLD_START = ("keep", "drop", "nan")
 # Arguments that change how a model is worked out, not its numbers.
 LAYOUT = ("rows_per_slice", "cut_every")
@@ -25,6 +27,14 @@ class Recommender:
     Neither is ever held by the driver as a whole.
     """
 
+    def __new__(cls, *args: object, **kwargs: object) -> "Recommender":
+        self = super().__new__(cls)
+        given = inspect.signature(cls.__init__).bind(self, *args, **kwargs)
+        given.apply_defaults()
+        # What the model was built with, for ``save``.
+        self.arguments = {name: value for name, value in list(given.arguments.items())[1:]}
+        return self
+
     def __init__(self, **params: object) -> None:
         self.params = dict(params)
         self.name = type(self).__name__
@@ -46,7 +56,7 @@ class Recommender:
     def recommend(
         self, candidates: DataFrame, top_n: int = 50, strict: bool = False, dedupe: bool = True, digits: int | None = None
     ) -> DataFrame:
-        """Rank (user_id, candidate_id): the first ``top_n`` with rank and position.
+        """Rank (user_id, candidate_id): the first ``top_n`` with rank and position, ties by item.
 
         ``digits`` rounds predictions first, so that sums taken in another
         order cannot turn a tie into an order.
@@ -58,7 +68,7 @@ class Recommender:
         scored = self.transform(pairs)
         if digits is not None:
             scored = scored.withColumn("prediction", F.round("prediction", digits))
-        return list_positions(rank_candidates(scored, top_n, strict, dedupe=False))
+        return list_positions(rank_candidates(scored, top_n, strict, dedupe=False), top_n)
 
     def identity(self) -> dict[str, object]:
         """The parameters, and every further argument that changes the result and is not at its default."""
@@ -85,11 +95,14 @@ class Recommender:
             raise ValueError(f"{self.name}: run fit() first")
 
     def save(self, path: str) -> None:
-        """Write the fitted tables as Parquet."""
+        """Write the fitted tables, the numbers and the model's arguments as Parquet."""
         self.check_fitted()
         for name, table in self.tables.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}")
-        spark = next(iter(self.tables.values())).sparkSession
+        spark = SparkSession.active()
+        described = (type(self).__name__, json.dumps(self.arguments), list(self.tables))
+        about = spark.createDataFrame([described], "model string, arguments string, tables array<string>")
+        about.write.mode("overwrite").parquet(f"{path}/{ABOUT}")
         rows = [(name, float(value)) for name, value in self.scalars.items()]
         scalars = spark.createDataFrame(rows, "name string, value double")
         scalars.write.mode("overwrite").parquet(f"{path}/scalars")
@@ -101,6 +114,21 @@ class Recommender:
         self.scalars = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/scalars").collect()}
         return self
 
+    @classmethod
+    def restore(cls, spark: SparkSession, path: str) -> "Recommender":
+        """A saved model with its arguments; called on the model's class or on a class above it."""
+        about = spark.read.parquet(f"{path}/{ABOUT}").first()
+        below, known = [cls], {}
+        while below:
+            kind = below.pop()
+            known[kind.__name__] = kind
+            below += kind.__subclasses__()
+        if about["model"] not in known:
+            raise ValueError(f"{path} holds a {about['model']}, which is no {cls.__name__} known here")
+        # JSON knows no tuples.
+        arguments = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(about["arguments"]).items()}
+        return known[about["model"]](**arguments).load(spark, path, about["tables"])
+
 
 def clamp(value: Column, scale: tuple[float, float]) -> Column:
     """Keep a prediction on the rating scale."""

@@ -25,6 +25,8 @@ from tasteforge.sources.shared import cut_lineage, stage
 # Factors up to this size are sent to every task; larger ones are shuffled.
 BROADCAST_BYTES = 64 << 20
 ID_BYTES = 64
+# Width of an even spread whose variance is 1.
+UNIT_SPREAD = 12**0.5
 
 
 def alternate(
@@ -75,11 +77,10 @@ class _Problem:
         return self.layouts[side]
 
     def start(self, side: str, seed: int) -> DataFrame:
-        """Small hashed factors for every id of a side."""
+        """Hashed factors of unit variance for every id of a side: smaller ones take the penalty more steps to leave."""
         ids = self.entries.select(side).distinct()
         steps = F.sequence(F.lit(1), F.lit(self.k))
-        spread = 2.0 / self.k**0.5
-        value = lambda j: (uniform(seed, side, j) - 0.5) * spread
+        value = lambda j: (uniform(seed, side, j) - 0.5) * UNIT_SPREAD
         factors = cut_lineage(ids.select(side, F.transform(steps, value).alias("factor")))
         self.sizes[side] = factors.count()
         return factors

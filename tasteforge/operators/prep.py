@@ -192,7 +192,12 @@ def user_features(users: DataFrame, since: str = "member_since", drop: Sequence[
 
 
 def category_edges(categories: DataFrame) -> DataFrame:
-    """(parent, child) titles from aliases; the first parent only."""
+    """(parent, child) titles from aliases; of an array ``parent_aliases`` the first counts.
+
+    A single ``parent_alias`` per row is taken as well.
+    """
+    if "parent_aliases" in categories.columns:
+        categories = categories.withColumn("parent_alias", F.get("parent_aliases", F.lit(0)))
     parent = categories.select(F.col("alias").alias("parent_alias"), F.col("title").alias("parent"))
     return categories.select("parent_alias", F.col("title").alias("child")).join(parent, "parent_alias").select("parent", "child")
 

@@ -26,12 +26,18 @@ def rank_candidates(scored: DataFrame, top_n: int = 50, strict: bool = False, de
     return usable.select(USER, ITEM, "prediction").withColumn("rank", rank).filter(F.col("rank") <= top_n)
 
 
-def list_positions(ranked: DataFrame) -> DataFrame:
-    """Add ``position``: 1, 2, ... in rank order, ties by item."""
+def list_positions(ranked: DataFrame, top_n: int | None = None) -> DataFrame:
+    """Add ``position``: 1, 2, ... in rank order, ties by item.
+
+    With ``top_n`` a list ends there, in the middle of a tie if need be, and
+    Spark keeps no more than that of a user in any task before the shuffle.
+    """
     window = Window.partitionBy(USER).orderBy("rank", ITEM)
-    return ranked.withColumn("position", F.row_number().over(window))
+    placed = ranked.withColumn("position", F.row_number().over(window))
+    return placed if top_n is None else placed.filter(F.col("position") <= top_n)
 
 
-def recommend_lists(ranked: DataFrame) -> DataFrame:
-    """(user_id, recommendations): an array of items in rank order."""
-    return ranked_lists(ranked, USER, "rank", ITEM, "recommendations")
+def recommend_lists(ranked: DataFrame, top_n: int) -> DataFrame:
+    """(user_id, recommendations): an array of at most ``top_n`` items in rank order, ties by item."""
+    placed = list_positions(ranked.select(USER, ITEM, "rank"), top_n)
+    return ranked_lists(placed, USER, "position", ITEM, "recommendations")

@@ -134,7 +134,11 @@ def drop_seen_candidates(candidates: DataFrame, train: DataFrame) -> DataFrame:
     return candidates.join(seen, [USER, CANDIDATE], "left_anti").select(*candidates.columns)
 
 
-def test_candidates(negatives: DataFrame) -> DataFrame:
-    """(user_id, candidate_id): the true items and their negatives, duplicates kept."""
-    truth = negatives.select(USER, F.col(ITEM).alias(CANDIDATE)).distinct()
+def test_candidates(negatives: DataFrame, test: DataFrame | None = None) -> DataFrame:
+    """(user_id, candidate_id): the true items and their negatives, duplicates kept.
+
+    The true items are those of ``test``.  Without it they are read off the
+    negatives, and a test pair that has none left loses its true item too.
+    """
+    truth = (negatives if test is None else test).select(USER, F.col(ITEM).alias(CANDIDATE)).distinct()
     return truth.unionByName(negatives.select(USER, CANDIDATE))

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tasteforge.functions.text import hyper_pairs, metric_k
+from tasteforge.operators.codes import number_rows
 from tasteforge.operators.metrics import ASCENDING
 
 TEST_FOLD = -1
@@ -52,16 +53,21 @@ def cv_summary(log: DataFrame, dataset: str, metrics: Iterable[str] | None = Non
     folds = log_filter(log, dataset, metrics, folds=F.col("fold") >= 0)
     newest = latest_per_config(folds, ["model", "hyper", "metric", "fold"])
     summary = newest.groupBy("model", "hyper", "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    return summary.withColumn("rnk", F.row_number().over(_best_first("mean", ascending, "metric")))
+    # All configurations are sorted by metric across tasks: a window by metric would put each metric's in one.
+    numbered = number_rows(summary, ["metric", *_best_first("mean", ascending)], "_row")
+    first = numbered.groupBy("metric").agg(F.min("_row").alias("_first"))
+    ranked = numbered.join(first.withColumnRenamed("metric", "_metric"), F.col("metric").eqNullSafe(F.col("_metric")))
+    rank = (F.col("_row") - F.col("_first") + 1).cast("int")
+    return ranked.select(*summary.columns, rank.alias("rnk"))
 
 
-def _best_first(value: str, ascending: Sequence[str], *by: str):
-    """Window over ``by``, the best value of the row's metric first.
+def _best_first(value: str, ascending: Sequence[str]) -> list[Column | str]:
+    """The order that puts the best value of a metric first.
 
     The sign of ascending metrics is turned, so one order fits all.
     """
     better = F.when(F.col("metric").isin(list(ascending)), -F.col(value)).otherwise(F.col(value))
-    return Window.partitionBy(*by).orderBy(F.desc_nulls_last(better), "model", "hyper")
+    return [F.desc_nulls_last(better), "model", "hyper"]
 
 
 def model_test_perf(log: DataFrame, dataset: str, models: Iterable[str] | None = None) -> DataFrame:
@@ -79,7 +85,7 @@ def best_configs(
 ) -> DataFrame:
     """The best configuration of every model by one metric."""
     perf = model_test_perf(log, dataset, models).filter(F.col("metric") == metric)
-    best = perf.withColumn("_rn", F.row_number().over(_best_first("value", ascending, "model")))
+    best = perf.withColumn("_rn", F.row_number().over(Window.partitionBy("model").orderBy(*_best_first("value", ascending))))
     return best.filter("_rn = 1").select("model", "hyper", "metric", "value")
 
 
@@ -146,6 +152,10 @@ def hyper_slice(pivoted: DataFrame, metric: str, along: str, fixed: Mapping[str,
     if models is not None:
         kept = kept.filter(F.col("model").isin(list(models)))
     for name, value in fixed.items():
-        kept = kept.filter(F.col(name).try_cast("double") == float(value))
+        if isinstance(value, str):
+            # Text stands in the log with or without its quotes.
+            kept = kept.filter(F.regexp_replace(name, "^'|'$", "") == value)
+        else:
+            kept = kept.filter(F.col(name).try_cast("double") == float(value))
     point = F.col(along).try_cast("double")
     return kept.select("model", point.alias(along), "value").orderBy("model", along)

@@ -41,7 +41,7 @@ def candidates(spark: SparkSession, sf_dir: str, train: DataFrame, test: DataFra
     """
     drawn = stage(negatives(spark, sf_dir, test), "negatives")
     unseen = stage(sampling.drop_seen_candidates(drawn, train), "unseen")
-    return sampling.test_candidates(unseen)
+    return sampling.test_candidates(unseen, test)
 
 
 step(
@@ -103,7 +103,7 @@ step(
 )
 step(
     "candidates",
-    "unseen_negatives",
-    """select distinct user_id, business_id as candidate_id from unseen_negatives
+    "test unseen_negatives",
+    """select distinct user_id, business_id as candidate_id from test
        union all select user_id, candidate_id from unseen_negatives""",
 )

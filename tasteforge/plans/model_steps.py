@@ -7,6 +7,7 @@ grouped sum is the same in both up to the order of its terms.
 from __future__ import annotations
 
 from tasteforge.functions.hashing import uniform_sql
+from tasteforge.models.ridge import UNIT_SPREAD
 from tasteforge.plans.registry import step
 
 SEED = 16
@@ -37,8 +38,7 @@ def scaled_sql(column: str, table: str, name: str | None = None, key: str = "key
 
 def ridge_steps(tag: str, entries: str, reg: float, iterations: int) -> None:
     """Two factors per id: {tag}_l{n} and {tag}_r{n} from entries (l, r, x, w)."""
-    spread = 2.0 / 2**0.5
-    first, second = (f"({uniform_sql(SEED, 'id', j)} - 0.5) * {spread!r}" for j in ("1", "2"))
+    first, second = (f"({uniform_sql(SEED, 'id', j)} - 0.5) * {UNIT_SPREAD!r}" for j in ("1", "2"))
     step(f"{tag}_r0", entries, f"select id, {first} as f1, {second} as f2 from (select distinct r as id from {entries})")
     for n in range(1, iterations + 1):
         for own, other, fixed in (("l", "r", f"{tag}_r{n - 1}"), ("r", "l", f"{tag}_l{n}")):

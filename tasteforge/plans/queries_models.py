@@ -87,7 +87,7 @@ step(
     f"""select *, row_number() over (partition by user_id order by rank, business_id) as position from (
             select user_id, business_id, round(prediction, {DIGITS}) as prediction,
                    rank() over (partition by user_id order by round(prediction, {DIGITS}) desc) as rank from scored)
-        where rank <= {TOP_N}""",
+        where rank <= {TOP_N} qualify position <= {TOP_N}""",
 )
 step("labels_set", "test", "select distinct user_id, business_id from test")
 step("label_sizes", "labels_set", "select user_id, count(*) as n_truth from labels_set group by 1")
@@ -217,7 +217,7 @@ def factors_roundtrip(spark, sf_dir):
     train, test = data.split(spark, sf_dir)
     path = fresh_path(spark, "bias-model")
     bias_model().fit(train).save(path)
-    model = bias_model().load(spark, path, ["users", "items"])
+    model = BiasModel.restore(spark, path)
     return model.transform(test.select("user_id", "business_id", "stars")).withColumn("prediction", F.round("prediction", 6))
 
 
@@ -259,7 +259,7 @@ def rank_candidates_query(spark, sf_dir):
 )
 def recommend_lists_query(spark, sf_dir):
     lists, _ = bias_lists(spark, sf_dir)
-    return recommend_lists(lists).withColumn("recommendations", F.array_join("recommendations", ","))
+    return recommend_lists(lists, TOP_N).withColumn("recommendations", F.array_join("recommendations", ","))
 
 
 @query(

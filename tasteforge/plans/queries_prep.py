@@ -281,6 +281,17 @@ def item_dummies(spark, sf_dir):
     return feats.item_dummies(data.features(spark, sf_dir), DUMMY_CATEGORIES, DUMMY_STATES)
 
 
+@query(
+    "item_dummies_all",
+    "features",
+    """select business_id, 'top_category=' || top_category as feature, 1.0::double as value from features where top_category is not null
+       union all select business_id, 'state=' || state, 1.0 from features where state is not null""",
+)
+def item_dummies_all(spark, sf_dir):
+    """Every category and state found in the data; a row that is absent is a zero."""
+    return feats.vectorise(data.features(spark, sf_dir), "business_id", ["top_category", "state"])
+
+
 @query(
     "fm_features",
     "features",

@@ -63,12 +63,12 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").selectExpr(
         "concat('n', cast(n_nationkey as string)) as alias",
         "n_name as title",
-        "concat('r', cast(n_regionkey as string)) as parent_alias",
+        "array(concat('r', cast(n_regionkey as string)), 'x0') as parent_aliases",
     )
     region = table(spark, sf_dir, "region").selectExpr(
-        "concat('r', cast(r_regionkey as string)) as alias", "r_name as title", "cast(null as string) as parent_alias"
+        "concat('r', cast(r_regionkey as string)) as alias", "r_name as title", "cast(array() as array<string>) as parent_aliases"
     )
-    lonely = spark.range(1).selectExpr("'x0' as alias", "'Lonely' as title", "cast(null as string) as parent_alias")
+    lonely = spark.range(1).selectExpr("'x0' as alias", "'Lonely' as title", "cast(null as array<string>) as parent_aliases")
     return nation.unionByName(region).unionByName(lonely)
 
 

@@ -26,7 +26,7 @@ def test_rank_drops_nan_keeps_ties(spark):
     got = sorted((r.business_id, r.rank) for r in rank_candidates(scored, 2).collect())
     assert got == [("a", 1), ("b", 2), ("c", 2)]
     assert [r.business_id for r in rank_candidates(scored, 2, strict=True).orderBy("rank").collect()] == ["a", "b"]
-    lists = recommend_lists(rank_candidates(scored, 5)).collect()
+    lists = recommend_lists(rank_candidates(scored, 5), 50).collect()
     assert [(r.user_id, r.recommendations) for r in lists] == [("u", ["a", "b", "c", "d"])]
 
 

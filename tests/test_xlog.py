@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tasteforge.operators import xlog
 from tasteforge.sources.log import LOG_SCHEMA, append_log, metric_rows, read_log, unpivot_metrics
@@ -63,6 +64,9 @@ def test_pivot_keeps_equal_values_apart(spark):
     wide = xlog.hyper_pivot(spark.createDataFrame(rows, LOG_SCHEMA), ["k", "reg", "none"])
     assert sorted((r.k, r.reg, r.none) for r in wide.collect()) == [("1", "0.1", None), ("2", "0.1", None)]
     assert [(r.model, r.k) for r in xlog.hyper_slice(wide, "rmse", "k", {"reg": 0.1}).collect()] == [("M", 1.0), ("M", 2.0)]
+    named = wide.withColumn("used", F.lit("'Both'"))
+    assert xlog.hyper_slice(named, "rmse", "k", {"used": "Both"}).count() == 2
+    assert xlog.hyper_slice(named, "rmse", "k", {"used": "User"}).count() == 0
 
 
 def test_append_and_stack(spark, tmp_path):
