@@ -4,21 +4,27 @@ Base rules find credentials by pattern; what they find is the labelled sample
 for grammar inference.  For each kind the values' prefix tree, over classes of
 characters, is folded into a probabilistic automaton: two states are merged
 when their outgoing frequencies, and those of the states they lead to, agree
-within Hoeffding's bound (``alpha``).  Every other candidate of a text, a run
-of credential characters, is then scored by its likelihood per character in
-each automaton, against a model of ordinary candidates; what looks more like
-one of the formats than ``threshold`` asks, and no less likely than the bulk of
-the labelled values, is a further span, of kind ``format``.
-
-Texts are read once; spans and candidates (runs with a digit and a letter) are
-written and scored from there.  The labelled sample is at most ``fit_values``
+within Hoeffding's bound (``alpha``).  Candidates are what base spans leave of a
+run of credential characters, and every part of it that begins at its start or
+behind one of ``+/_.=-`` and ends at its end or before one; 6 characters or
+more, as in ``assign``, with a digit and a letter.  Each is scored by its
+likelihood per character in each automaton, the end of the value included,
+against a model of ordinary candidates; what looks more like one of the formats
+than ``threshold`` asks, and no less likely than the bulk of the labelled
+values, is a further span, of kind ``format``.  Of the parts with one end the
+one of the greatest lead is taken, and parts inside another are left out.
+
+Texts are read once; spans and what they leave of runs are written and scored
+from there.  All parts are walked side by side; where two are in one state and
+one trails in both tests, it is dropped, as the other passes whenever it does.
+A run whose parts all stay in play costs its length times its separators.  The labelled sample is at most ``fit_values``
 distinct values per kind, of lowest hash, so the automata are small and are
 sent to the tasks.  There is no other shuffle.
 
 Places count code points, the end is exclusive.  Base rules, leftmost and
 non-overlapping by kind: ``assign`` (a keyword, = or :, a value of 6
-characters or more; the span is the whole match), ``access`` and ``hex``.  A
-candidate that overlaps a base span is not a span of its own.
+characters or more; the span is the whole match), ``access`` and ``hex``.
+``format`` spans overlap no base span.
 
 Null or empty text: no span.  An empty table gives an empty result; repeated
 rows are scanned alike; with no labelled value no ``format`` span is found.
@@ -44,7 +50,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 MIN_VALUE = 6
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SEPARATORS = "+/_.=-"
+CHARACTERS = {c: k for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + SEPARATORS)}
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_VALUE)
 MAX_SCORED = 512
 FIT_VALUES = 1500
 ALPHA = 0.05
@@ -64,15 +72,27 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, taken: Sequence[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Runs with a digit and a letter that no base span touches."""
-    out = []
+    """What base spans leave of each run, where it can hold a value."""
+    out, spans, at = [], sorted((s, e) for _, s, e, _ in taken), 0
     for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(s < m.end() and m.start() < e for _, s, e, _ in taken):
-            out.append(("format", m.start(), m.end(), value))
+        begin = m.start()
+        while at < len(spans) and spans[at][1] <= begin:
+            at += 1
+        k = at
+        while begin < m.end():
+            covered = k < len(spans) and spans[k][0] < m.end()
+            end = max(begin, spans[k][0]) if covered else m.end()
+            if may_be_value(text[begin:end]):
+                out.append(("format", begin, end, text[begin:end]))
+            begin = max(begin, spans[k][1]) if covered else m.end()
+            k += 1
     return out
 
 
+def may_be_value(part: str) -> bool:
+    return len(part) >= MIN_VALUE and any(c.isdigit() for c in part) and any(c.isalpha() for c in part)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, candidates): one row per row of ``docs``."""
 
@@ -112,6 +132,7 @@ class Automaton:
     def __init__(self, values: Sequence[str], alpha: float = ALPHA):
         self.moves: list[dict[str, list[int]]] = [{}]
         self.ends: list[int] = [0]
+        self._tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         for value in values:
             self._add(value)
         self._merge(alpha)
@@ -196,6 +217,28 @@ class Automaton:
         return total / max(1, len(used))
 
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probability and next state by (state, character), log probability of the end by state; as in ``score``."""
+        if self._tables is None:
+            number, order = {0: 0}, [0]
+            for state in order:
+                for target, _ in self.moves[state].values():
+                    if target not in number:
+                        number[target] = len(order)
+                        order.append(target)
+            chance, after = np.empty((len(order), len(CHARACTERS))), np.empty((len(order), len(CHARACTERS)), np.int64)
+            for k, state in enumerate(order):
+                n = self._seen(state)
+                for c, i in CHARACTERS.items():
+                    s = symbol(c)
+                    move = self.moves[state].get(s)
+                    chance[k, i] = math.log(((move[1] if move else 0) + 1e-3) / (n + 1.0)) - math.log(CLASS_SIZE.get(s, 1))
+                    after[k, i] = number[move[0]] if move else k
+            end = np.array([math.log((self.ends[s] + 1e-3) / (self._seen(s) + 1.0)) for s in order])
+            self._tables = chance, after, end
+        return self._tables
+
+
 def ordinary(values: Sequence[str]) -> dict[str, float]:
     """Log probability of each character by frequency, add one."""
     counts: dict[str, int] = defaultdict(int)
@@ -230,6 +273,82 @@ def secret_like(value: str, automata: dict[str, Automaton], plain: dict[str, flo
     return any((s := a.score(value)) >= a.least and s - background >= threshold for a in automata.values())
 
 
+ROUNDING = 1e-9
+
+
+def secret_parts(value: str, automata: dict[str, Automaton], plain: dict[str, float], threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a candidate that are ``secret_like``, in order."""
+    places = [i for i, c in enumerate(value) if c in SEPARATORS]
+    if not places:
+        return [(0, len(value))] if may_be_value(value) and secret_like(value, automata, plain, threshold) else []
+    codes = [CHARACTERS[c] for c in value]
+    usual = [plain.get(c, plain[END]) + threshold for c in value]
+    best: dict[int, tuple[float, int]] = {}
+    for automaton in automata.values():
+        chance, after, last = automaton.tables()
+        # Of each open part: its start, its state, and what it leads by in the two tests, times its length.
+        start, state = np.zeros(len(places) + 1, np.int64), np.zeros(len(places) + 1, np.int64)
+        over_usual, over_least = np.zeros(len(places) + 1), np.zeros(len(places) + 1)
+        n, full, digit, letter = 0, 64, -1, -1
+        for i in range(len(value) + 1):
+            if i == len(value) or value[i] in SEPARATORS:
+                # Starts are in order: the first ``ripe`` parts have the length, a digit and a letter.
+                ripe = int(np.searchsorted(start[:n], min(i - MIN_VALUE, digit, letter), "right"))
+                if ripe:
+                    end = last[state[:ripe]]
+                    lead = np.where(over_least[:ripe] + end >= -ROUNDING, over_usual[:ripe] + end, -np.inf)
+                    k = int(np.argmax(lead))
+                    if lead[k] >= -ROUNDING and (i not in best or lead[k] > best[i][0]):
+                        best[i] = (float(lead[k]), int(start[k]))
+                if ripe > full:
+                    kept = np.concatenate([_leading(state[:ripe], over_usual[:ripe], over_least[:ripe]), np.arange(ripe, n)])
+                    for column in (start, state, over_usual, over_least):
+                        column[: len(kept)] = column[kept]
+                    n, full = len(kept), max(64, 2 * len(kept))
+            if i == len(value):
+                break
+            if i == 0 or value[i - 1] in SEPARATORS:
+                start[n], state[n], over_usual[n], over_least[n] = i, 0, 0.0, 0.0
+                n += 1
+            step = chance[state[:n], codes[i]]
+            over_usual[:n] += step - usual[i]
+            over_least[:n] += step - automaton.least
+            state[:n] = after[state[:n], codes[i]]
+            if value[i].isdigit():
+                digit = i
+            elif value[i].isalpha():
+                letter = i
+    out: list[tuple[int, int]] = []
+    for end, (_, begin) in sorted(best.items()):
+        while out and out[-1][0] >= begin:
+            out.pop()
+        if not out or begin > out[-1][0]:
+            out.append((begin, end))
+    return out
+
+
+def _leading(state: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places, in order, of those that none of the same state equals or passes in both ``a`` and ``b``."""
+    order = np.lexsort((-b, -a, state))
+    kept, most, at = [], -np.inf, -1
+    for k in order:
+        if state[k] != at:
+            at, most = state[k], -np.inf
+        if b[k] > most:
+            most = b[k]
+            kept.append(k)
+    return np.sort(np.array(kept, np.int64))
+
+
+def format_spans(found: Sequence[dict], automata: dict[str, Automaton], plain: dict[str, float], threshold: float) -> list[dict]:
+    """The ``format`` spans of a text's candidates."""
+    out = []
+    for s in found:
+        for begin, end in secret_parts(s["value"], automata, plain, threshold):
+            out.append({"kind": "format", "start": s["start"] + begin, "end": s["start"] + end, "value": s["value"][begin:end]})
+    return out
+
+
 def find_secrets(docs: DataFrame, fit_values: int = FIT_VALUES, alpha: float = ALPHA, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, base, spans): arrays of (kind, start, end, value), by start, then kind; spans holds base and format spans."""
     scanned = stage(scan(docs), "secret-candidates")
@@ -241,7 +360,7 @@ def find_secrets(docs: DataFrame, fit_values: int = FIT_VALUES, alpha: float = A
         for batch in batches:
             spans = []
             for base, more in zip(batch["base"].to_pylist(), batch["candidates"].to_pylist(), strict=True):
-                found = base + [s for s in more if secret_like(s["value"], automata, plain, threshold)]
+                found = base + format_spans(more, automata, plain, threshold)
                 spans.append(sorted(found, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["base"].cast(SPAN_TYPE), pa.array(spans, SPAN_TYPE)], names=["doc_id", "base", "spans"])
 
@@ -271,7 +390,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHOLD
 
 def _without(text: str, automata: dict, plain: dict, threshold: float, mark: str) -> str:
     base = base_spans(text)
-    spans = [(s, e) for _, s, e, _ in base] + [(s, e) for _, s, e, v in candidates(text, base) if secret_like(v, automata, plain, threshold)]
+    spans = [(s, e) for _, s, e, _ in base]
+    for _, s, _, value in candidates(text, base):
+        spans += [(s + begin, s + end) for begin, end in secret_parts(value, automata, plain, threshold)]
     out, end = [], 0
     for s, e in sorted(spans):
         if s >= end:
