@@ -53,7 +53,6 @@ MIN_VALUE = 6
 SEPARATORS = "+/_.=-"
 CHARACTERS = {c: k for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + SEPARATORS)}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_VALUE)
-MAX_SCORED = 512
 FIT_VALUES = 1500
 ALPHA = 0.05
 THRESHOLD = 1.0
@@ -141,7 +140,7 @@ class Automaton:
 
     def _add(self, value: str) -> None:
         state = 0
-        for c in map(symbol, value[:MAX_SCORED]):
+        for c in map(symbol, value):
             move = self.moves[state].get(c)
             if move is None:
                 move = self.moves[state][c] = [len(self.moves), 0]
@@ -205,16 +204,15 @@ class Automaton:
 
     def score(self, value: str) -> float:
         """Log probability per character; a move never seen costs a thousandth."""
-        state, total, used = 0, 0.0, value[:MAX_SCORED]
-        for c in used:
+        state, total = 0, 0.0
+        for c in value:
             s = symbol(c)
             move = self.moves[state].get(s)
             n = self._seen(state)
             total += math.log(((move[1] if move else 0) + 1e-3) / (n + 1.0)) - math.log(CLASS_SIZE.get(s, 1))
             state = move[0] if move else state
-        if len(value) <= MAX_SCORED:
-            total += math.log((self.ends[state] + 1e-3) / (self._seen(state) + 1.0))
-        return total / max(1, len(used))
+        total += math.log((self.ends[state] + 1e-3) / (self._seen(state) + 1.0))
+        return total / max(1, len(value))
 
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,8 +266,7 @@ def fit(scanned: DataFrame, fit_values: int = FIT_VALUES, alpha: float = ALPHA)
 
 
 def secret_like(value: str, automata: dict[str, Automaton], plain: dict[str, float], threshold: float) -> bool:
-    used = value[:MAX_SCORED]
-    background = sum(plain.get(c, plain[END]) for c in used) / max(1, len(used))
+    background = sum(plain.get(c, plain[END]) for c in value) / max(1, len(value))
     return any((s := a.score(value)) >= a.least and s - background >= threshold for a in automata.values())
 
 

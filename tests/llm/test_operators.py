@@ -509,6 +509,20 @@ def test_secret_parts_are_all_parts():
     assert reached > 20
 
 
+def test_secrets_are_scored_whole():
+    """The verdict on a value of over 512 characters hangs on all of them, its end included."""
+    import random
+
+    rng = random.Random(10)
+    token = lambda size: "tk" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(size))
+    known = {"assign": secret_scan.Automaton([token(700) for _ in range(60)])}
+    background = dict(secret_scan.ordinary(["build7version8number9"] * 400)) | {secret_scan.END: math.log(1e-4)}
+    prefix = token(520)
+    assert secret_scan.secret_like(token(700), known, background, secret_scan.THRESHOLD)
+    assert not secret_scan.secret_like(prefix + "build7version8number9" * 200, known, background, secret_scan.THRESHOLD)
+    assert known["assign"].score(prefix) != known["assign"].score(prefix + "A")
+
+
 def test_redaction(odd):
     got = texts(secret_scan.redact(odd))
     assert "0123456789abcdef" not in got[12] and "AKIA" not in got[12] and got[12].count("[SECRET]") >= 2
