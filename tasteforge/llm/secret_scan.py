@@ -15,11 +15,13 @@ values, is a further span, of kind ``format``.  Of the parts with one end the
 one of the greatest lead is taken, and parts inside another are left out.
 
 Texts are read once; spans and what they leave of runs are written and scored
-from there.  All parts are walked side by side; where two are in one state and
+from there.  The model of ordinary candidates has the frequency of each
+character in all that base spans leave of runs, each time it occurs, counted in
+Spark.  All parts are walked side by side; where two are in one state and
 one trails in both tests, it is dropped, as the other passes whenever it does.
 A run whose parts all stay in play costs its length times its separators.  The labelled sample is at most ``fit_values``
 distinct values per kind, of lowest hash, so the automata are small and are
-sent to the tasks.  There is no other shuffle.
+sent to the tasks.  There is no other shuffle but that of the character counts.
 
 Places count code points, the end is exclusive.  Base rules, leftmost and
 non-overlapping by kind: ``assign`` (a keyword, = or :, a value of 6
@@ -34,7 +36,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -243,10 +245,29 @@ def ordinary(values: Sequence[str]) -> dict[str, float]:
     for value in values:
         for c in value:
             counts[c] += 1
+    return ordinary_of(counts)
+
+
+def ordinary_of(counts: dict[str, int]) -> dict[str, float]:
     total = sum(counts.values()) + 66
     return defaultdict(lambda: math.log(1 / total), {c: math.log((n + 1) / total) for c, n in counts.items()})
 
 
+def count_characters(scanned: DataFrame) -> dict[str, int]:
+    """How often each character stands in the candidates; counted in the tasks, a row per character comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for value in batch["value"].to_pylist():
+                counts.update(value)
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["c", "n"])
+
+    values = scanned.select(F.explode("candidates").alias("s")).select("s.value")
+    counted = values.transform(few_rows).mapInArrow(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    return {row["c"]: row["n"] for row in counted.collect()}
+
+
 def least_hashed(values: DataFrame, n: int) -> DataFrame:
     """At most ``n`` distinct values per kind, of lowest hash; pruned before the shuffle."""
     by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
@@ -256,13 +277,12 @@ def least_hashed(values: DataFrame, n: int) -> DataFrame:
 def fit(scanned: DataFrame, fit_values: int = FIT_VALUES, alpha: float = ALPHA) -> tuple[dict[str, Automaton], dict[str, float]]:
     """Automata by kind from the base spans, and the model of ordinary candidates."""
     labelled = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value")
-    other = scanned.select(F.explode("candidates").alias("s")).select("s.kind", "s.value")
-    rows = least_hashed(labelled.unionByName(other), fit_values).collect()
+    rows = least_hashed(labelled, fit_values).collect()
     values: dict[str, list[str]] = defaultdict(list)
     for row in sorted(rows):
         values[row["kind"]].append(row["value"])
-    plain = values.pop("format", [])
-    return {k: Automaton(v, alpha) for k, v in values.items()}, dict(ordinary(plain)) | {END: math.log(1 / (sum(map(len, plain)) + 66))}
+    counts = count_characters(scanned)
+    return {k: Automaton(v, alpha) for k, v in values.items()}, dict(ordinary_of(counts)) | {END: math.log(1 / (sum(counts.values()) + 66))}
 
 
 def secret_like(value: str, automata: dict[str, Automaton], plain: dict[str, float], threshold: float) -> bool:

@@ -523,6 +523,17 @@ def test_secrets_are_scored_whole():
     assert known["assign"].score(prefix) != known["assign"].score(prefix + "A")
 
 
+def test_ordinary_characters_are_counted_in_all_candidates(spark):
+    """The background has every candidate, as often as it occurs, whatever ``fit_values`` allows for labelled rows."""
+    lines = [f"run{i}build " * (i % 5) for i in range(300)] + ["same-value-77 "] * 200 + ["secret=abcdef123456 "] * 3 + ["9z" * 4000]
+    scanned = secret_scan.scan(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string").repartition(3))
+    counts = Counter(c for t in lines if "secret" not in t for c in t if c != " ")
+    total = sum(counts.values()) + 66
+    automata, plain = secret_scan.fit(scanned, fit_values=20)
+    assert set(automata) == {"assign"}
+    assert plain == pytest.approx({c: math.log((n + 1) / total) for c, n in counts.items()} | {secret_scan.END: math.log(1 / total)})
+
+
 def test_redaction(odd):
     got = texts(secret_scan.redact(odd))
     assert "0123456789abcdef" not in got[12] and "AKIA" not in got[12] and got[12].count("[SECRET]") >= 2
