@@ -44,7 +44,7 @@ SMOOTHING = 0.05
 UNDETERMINED = "und"
 OUTPUTS = ("lang_pred", "score", "held_out")
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 100_000
+CACHED_WORDS, CACHED_LETTERS = 100_000, 5_000_000
 
 
 def default_path() -> str:
@@ -108,46 +108,44 @@ def pieces(path: str) -> Pieces:
 
 
 def forward(ids: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """alpha[w, i, l]: probability of the first i letters of word w in language l, over all cuts.
+    """ratio[w, i, l]: probability of the first i + 1 letters of word w in language l over that of the first i, over all cuts.
 
     ``probability`` has a row per piece and a last row for "not a piece" (0).
     """
     n, length, longest = ids.shape
-    alpha = np.zeros((n, length + 1, probability.shape[1]))
-    alpha[:, 0] = 1.0
-    for i in range(1, length + 1):
-        for k in range(min(longest, i)):
-            piece = ids[:, i - 1, k]
-            share = probability[piece]
-            if k == 0:
-                share = np.where((piece < 0)[:, None], OTHER, share)
-            alpha[:, i] += alpha[:, i - k - 1] * share
-    return alpha
-
-
-def backward(ids: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """beta[w, i, l]: probability of what follows the first i letters."""
+    ratio = np.empty((n, length, probability.shape[1]))
+    # behind[:, k]: probability of the letters up to k back, over that of all letters so far.
+    behind = np.zeros((n, longest, probability.shape[1]))
+    behind[:, 0] = 1.0
+    for i in range(length):
+        share = probability[ids[:, i]]
+        share[ids[:, i, 0] < 0, 0] = OTHER
+        ratio[:, i] = (share * behind).sum(axis=1)
+        behind[:, 1:] = behind[:, :-1] / ratio[:, i, None]
+    return ratio
+
+
+def backward(ids: np.ndarray, probability: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """cut[w, i, l]: probability that word w is cut before letter i, given its letters."""
     n, length, longest = ids.shape
-    beta = np.zeros((n, length + 1, probability.shape[1]))
-    beta[:, length] = 1.0
+    cut = np.ones((n, length + 1, probability.shape[1]))
     for i in range(length - 1, -1, -1):
-        for k in range(min(longest, length - i)):
-            piece = ids[:, i + k, k]
-            share = probability[piece]
-            if k == 0:
-                share = np.where((piece < 0)[:, None], OTHER, share)
-            beta[:, i] += beta[:, i + k + 1] * share
-    return beta
+        k = np.arange(min(longest, length - i))
+        piece = ids[:, i + k, k]
+        share = probability[piece]
+        share[piece[:, 0] < 0, 0] = OTHER
+        cut[:, i] = (share * cut[:, i + k + 1] / ratio[:, i + k].cumprod(axis=1)).sum(axis=1)
+    return cut
 
 
-def by_length(words: Sequence[str], at_most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of words, their letters as a matrix) for words of one length at a time."""
+def by_length(words: Sequence[str], at_most: int = 4096, letters: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of words, their letters as a matrix) for words of one length at a time; of long words, fewer at once."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     begin = 0
     while begin < len(order):
         length = lengths[order[begin]]
-        end = min(begin + at_most, int(np.searchsorted(lengths[order], length, "right")))
+        end = min(begin + max(1, min(at_most, letters // int(length))), int(np.searchsorted(lengths[order], length, "right")))
         chosen = order[begin:end]
         joined = "".join(words[i] for i in chosen)
         yield chosen, np.frombuffer(joined.encode("utf-32-le"), np.uint32).reshape(len(chosen), length)
@@ -155,11 +153,8 @@ def by_length(words: Sequence[str], at_most: int = 4096) -> Iterator[tuple[np.nd
 
 
 def runs(text: str) -> list[str]:
-    """The letter runs of a text, lower-cased, none longer than MAX_RUN."""
-    found = LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= MAX_RUN:
-        return found
-    return [w[i : i + MAX_RUN] for w in found for i in range(0, len(w), MAX_RUN)]
+    """The letter runs of a text, lower-cased."""
+    return LETTERS.findall(text.lower())
 
 
 def held_out() -> Column:
@@ -177,7 +172,7 @@ class Model:
         table = pieces(self.path)
         out = np.zeros((len(words), len(self.languages)))
         for chosen, chars in by_length(words):
-            out[chosen] = np.log(forward(table.of_substrings(chars, table.longest), self.probability)[:, -1])
+            out[chosen] = np.log(forward(table.of_substrings(chars, table.longest), self.probability)).sum(axis=1)
         return out
 
 
@@ -230,11 +225,13 @@ def expected_counts(words: DataFrame, model: Model) -> DataFrame:
                 for own in np.unique(lang[chosen]):
                     rows = np.flatnonzero(lang[chosen] == own)
                     mine, share = ids[rows], probability[:, own : own + 1]
-                    alpha, beta = forward(mine, share)[..., 0], backward(mine, share)[..., 0]
-                    weight = n[chosen[rows]] / np.maximum(alpha[:, -1], 1e-300)
+                    ratio = forward(mine, share)
+                    cut, passed = backward(mine, share, ratio)[..., 0], np.ones_like(ratio[..., 0])
                     for k in range(mine.shape[2]):
                         piece = mine[:, k:, k]
-                        part = alpha[:, : piece.shape[1]] * share[piece, 0] * beta[:, k + 1 :] * weight[:, None]
+                        # Probability of the k + 1 letters from each place on, given those before.
+                        passed = passed[:, : piece.shape[1]] * ratio[:, k:, 0]
+                        part = share[piece, 0] * cut[:, k + 1 :] / passed * n[chosen[rows], None]
                         np.add.at(total[:, own], piece.ravel(), part.ravel())
         for own, lang_name in enumerate(languages):
             found = np.flatnonzero(total[:-1, own] > 0)
@@ -267,12 +264,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         known: dict[str, int] = {}
+        letters = 0
         scores = np.zeros((0, len(own.languages)))
         for batch in gathered(batches):
             texts = [runs(t) if t else [] for t in batch.column(at).to_pylist()]
-            if len(known) > CACHED_WORDS:
-                known, scores = {}, scores[:0]
+            if len(known) > CACHED_WORDS or letters > CACHED_LETTERS:
+                known, letters, scores = {}, 0, scores[:0]
             new = list({w for words in texts for w in words if w not in known})
+            letters += sum(map(len, new))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             scores = np.vstack([scores, own.score(new)]) if new else scores
             langs, values = [], []

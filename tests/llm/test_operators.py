@@ -109,6 +109,43 @@ def test_language_forward_sums_all_cuts():
     assert np.allclose(got, [np.log(by_hand(w)) for w in words])
 
 
+def test_language_of_long_runs(spark):
+    """Whole runs are scored, also of letters that no training text has; expected counts are those over all cuts."""
+    import numpy as np
+
+    said = {"en": "the house and the garden are quiet in the morning", "fr": "la maison et le jardin sont calmes le matin", "es": "la casa y el huerto son tranquilos por la tarde"}
+    docs = spark.createDataFrame([(i, t + " ", lang) for i, (lang, t) in enumerate(said.items())], "doc_id long, text string, lang string")
+    model = language_id.fit(docs.withColumn("text", F.repeat("text", 100_000)))
+    table = language_id.pieces(model.path)
+    unseen = next(n for n in table.names if len(n) == 1 and "\u4e00" <= n <= "\u9fff")
+    asked = [(size, f"{t} " * 20 + unseen * size, lang) for lang, t in said.items() for size in (60, 5000)]
+    for r in language_id.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect():
+        assert 0.3 < r["score"] <= 1 and (r["doc_id"] > 60 or r["lang_pred"] == r["lang"])
+    assert language_id.runs("x" * 500 + " y") == ["x" * 500, "y"]
+
+    rng = np.random.default_rng(2)
+    p = np.vstack([rng.random((len(table.names), 1)), np.zeros((1, 1))])
+    number = {n: k for k, n in enumerate(table.names)}
+
+    def cuts(word):
+        if not word:
+            yield 1.0, []
+        for k in range(1, len(word) + 1):
+            piece = number.get(word[:k])
+            share = p[piece, 0] if piece is not None else (language_id.OTHER if k == 1 else 0.0)
+            if share:
+                yield from ((share * q, [piece, *more]) for q, more in cuts(word[k:]))
+
+    expected = Counter()
+    for word, n in (("there", 2), ("keit", 1)):
+        every = list(cuts(word))
+        for q, used in every:
+            expected.update({piece: n * used.count(piece) * q / sum(x for x, _ in every) for piece in set(used) if piece is not None})
+    words = spark.createDataFrame([("en", "there", 2), ("en", "keit", 1)], "lang string, word string, n long")
+    got = {r["piece"]: r["n"] for r in language_id.expected_counts(words, language_id.Model(model.path, ["en"], p)).collect()}
+    assert got == pytest.approx(dict(expected))
+
+
 def test_language(given, odd, empty):
     found = rows(language_id.identify(given))
     for i, r in found.items():
