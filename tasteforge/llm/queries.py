@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tasteforge.llm import bpe, chat, fingerprints, language_id, mixture, near_dedup, quality_rules, secret_scan, substring_dedup, url_filter
-from tasteforge.llm.common import documents
+from tasteforge.llm import (
+    bpe, chat, fingerprints, language_id, mixture, near_dedup, nearest, periodic_runs, quality_rules, secret_scan, substring_dedup, url_filter, whitening,
+)
+from tasteforge.llm.common import documents, words_column
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +102,48 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_nearest")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.nearest_neighbours(vectors, F.col("vec_id") % 20 == 0)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of every tenth crc32 of doc_id made periodic from a word on; a null id plants nothing."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumn("_g", F.expr("crc32(cast(doc_id as string)) div 10")).withColumn("_words", F.when(h % 10 == 0, words_column("text")))
+    sized = chosen.withColumn("_n", F.size("_words"))
+    placed = sized.withColumn("_a", F.when(F.col("_n") > 0, (F.col("_g") % F.col("_n")).cast("int")))
+    placed = placed.withColumn("_p", F.expr("cast(1 + (_n - _a) div (3 + _g % 8) as int)"))
+    times = F.expr("cast((_n - _a) div _p + 1 as int)")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), times)), F.lit(1), F.col("_n") - F.col("_a"))
+    planted = F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a")), again), " ")
+    return placed.select("doc_id", F.when(F.col("_a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(documents(spark, sf_dir).select("doc_id", "text")))
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("less"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    texts = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("_first", first).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_first.less")).alias("start"),
+        F.col("_first.length").alias("length"),
+        (-F.col("_first.period")).alias("period"),
+        F.expr("(1000 * _first.length) div (-_first.period)").alias("exponent_milli"),
+        F.sha2(texts, 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
 # Words are cut by a pattern of the same six characters; RE2's \s lacks none of them but the vertical tab.
 SPLIT = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
 
