@@ -216,7 +216,7 @@ def documents_for_runs():
     texts = [None, "", " \t\n", "one", "same " * 12, "same " * 11, phrase + " " + phrase + " end", odd, "x y " * 40, ("verse one two three four five\n" * 9)]
     rows = [(n, t, "en", t, 0) for n, t in enumerate(texts)] + [(n, " ".join(f"q{(n * k) % 17}" for k in range(120)), None, None, 1) for n in range(10, 60)]
     long = " ".join(f"z{k % 5000}" for k in range(40_000))
-    return rows + [(None, "again and " * 20, None, None, 1), (9, texts[9], "en", None, 0), (-7, texts[7], None, None, 2), (10**12 + 1, long, None, None, 3)]
+    return rows + [(None, "again and " * 20, None, None, 1), (9, texts[9], "en", None, 0), (-7, texts[7], None, None, 2), (10**12 + 2, long, None, None, 3)]
 
 
 def planted(doc_id, words):
