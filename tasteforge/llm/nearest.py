@@ -5,8 +5,8 @@
    sample suffices for that; beyond, there are at most ``fit_rows`` /
    ``least_sample`` leaves, which bounds the tree that every task gets.
 2. *Index.*  Every row goes to the leaf that it is led to from the root by the
-   nearest centre.  Leaves lie together in shards of at most ``shard_rows``
-   rows; a larger leaf takes several shards.
+   nearest centre.  Leaves lie together in shards of a 64th of the table, at
+   most ``shard_rows`` rows; a larger leaf takes several shards.
 3. *Calibration.*  The true neighbours of ``calibrate`` queries (those of least
    hash), found by comparing these with every row, show how many leaves have to
    be visited: visits widen, leaf by leaf, until the share of true neighbours
@@ -48,7 +48,8 @@ from tasteforge.sources.shared import stage
 FIT_ROWS, LEAF_ROWS, LEAST_SAMPLE = 65_536, 128, 16
 # Long vectors make the sample smaller: the driver holds no more of it than this.
 SAMPLE_BYTES = 64 << 20
-SHARD_ROWS = 32_768
+# A shard holds a 64th of the index, between these bounds: what a query sends and gets hangs on the table, not on the session's partitions.
+LEAST_SHARD, SHARD_ROWS, SHARES = 1024, 32_768, 64
 CALIBRATE, RECALL = 256, 0.95
 QUERIES_AT_ONCE = 512
 # Relative room for the rounding of a matrix product.
@@ -89,12 +90,14 @@ def nearest_neighbours(
     sizes = np.zeros(tree.leaves, np.int64)
     for leaf, rows in index.groupBy("leaf").count().collect():
         sizes[leaf] = rows
-    shards = Shards(sizes, max(1, min(shard_rows, -(-int(sizes.sum()) // tasks(spark)))))
+    shards = Shards(sizes, min(shard_rows, max(LEAST_SHARD, int(sizes.sum()) // SHARES)))
 
     hashes = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.reverse("vector")).alias("h2")]
     queries = stage(chosen.filter("asks").select("vec_id", *hashes, "vector").distinct(), "ann-queries")
     visits = _calibrated_visits(index, queries, tree, sample, k, calibrate, recall)
-    sent = queries.groupBy(*KEY).agg(F.first("vector").alias("vector")).transform(lambda q: _sent(q, tree, sizes, shards, visits, k))
+    # Walks cost more than their bytes tell, so queries are spread over a stated number of tasks.
+    asking = queries.repartition(tasks(spark), *KEY).groupBy(*KEY).agg(F.first("vector").alias("vector"))
+    sent = _sent(asking, tree, sizes, shards, visits, k)
     hits = _searched(index, sent, shards, k)
 
     order = F.struct((-F.col("score")).alias("less"), F.col("vec_id").isNull().alias("unnamed"), "vec_id", "score", "same")
