@@ -12,9 +12,12 @@
    be visited: visits widen, leaf by leaf, until the share of true neighbours
    in the leaves visited reaches ``recall``.
 4. *Search.*  A query walks the tree through a priority queue, best bin first,
-   for that number of leaves, and on until they hold enough rows.  It is sent
-   once to each shard with a leaf of its list, streams past the shard's rows,
-   and its best rows of all shards are merged.
+   for that number of leaves, and on until they hold enough rows.  Visits widen
+   in rounds, each with four times the leaves of the one before.  In a round a
+   query is sent once to each shard with a leaf of its list and streams past
+   the shard's rows; only rows no worse than its worst of the round before come
+   back and are merged.  Better rows get rarer as fast as rounds get larger, so
+   what comes back hangs on ``k`` and the rounds, not on rows or shards.
 
 Nearness is the inner product in double precision, summed from the first
 component to the last; matrix products only choose whom to sum for, with room
@@ -52,6 +55,7 @@ SAMPLE_BYTES = 64 << 20
 LEAST_SHARD, SHARD_ROWS, SHARES = 1024, 32_768, 64
 CALIBRATE, RECALL = 256, 0.95
 QUERIES_AT_ONCE = 512
+FIRST_VISITS, WIDER = 2, 4
 # Relative room for the rounding of a matrix product.
 ROOM = 1e-12
 KEY = ["h1", "h2"]
@@ -97,17 +101,39 @@ def nearest_neighbours(
     visits = _calibrated_visits(index, queries, tree, sample, k, calibrate, recall)
     # Walks cost more than their bytes tell, so queries are spread over a stated number of tasks.
     asking = queries.repartition(tasks(spark), *KEY).groupBy(*KEY).agg(F.first("vector").alias("vector"))
-    sent = _sent(asking, tree, sizes, shards, visits, k)
-    hits = _searched(index, sent, shards, k)
-
-    order = F.struct((-F.col("score")).alias("less"), F.col("vec_id").isNull().alias("unnamed"), "vec_id", "score", "same")
-    lists = hits.groupBy(*KEY).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("found"))
+    lists = None
+    for passed, upto in rounds(visits):
+        known = asking.withColumn("least", F.lit(float("-inf"))) if lists is None else asking.join(lists.select(*KEY, _worst(k)), KEY, "left")
+        hits = _searched(index, _sent(known, tree, sizes, shards, passed, upto, upto == visits, k), shards, k)
+        if lists is not None:
+            hits = hits.unionByName(lists.select(*KEY, F.explode("found").alias("hit")).select(*KEY, "hit.vec_id", "hit.score", "hit.same"))
+        lists = stage(_merged(hits, k), "ann-lists")
     found = join_sliced(queries.select(F.col("vec_id").alias("query_id"), *KEY), lists, KEY)
     others = F.filter("found", lambda e: ~(e["same"] & e["vec_id"].eqNullSafe(F.col("query_id"))))
     ranked = found.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "hit"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 
 
+def rounds(visits: int) -> list[tuple[int, int]]:
+    """[first, end) of the visits of each round."""
+    ends = [FIRST_VISITS]
+    while ends[-1] < visits:
+        ends.append(ends[-1] * WIDER)
+    ends = [*[e for e in ends if e < visits], visits]
+    return list(zip([0, *ends], ends))
+
+
+def _merged(hits: DataFrame, k: int) -> DataFrame:
+    """(h1, h2, found): the ``k`` + 1 best hits of each query, best first."""
+    order = F.struct((-F.col("score")).alias("less"), F.col("vec_id").isNull().alias("unnamed"), "vec_id", "score", "same")
+    return hits.groupBy(*KEY).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("found"))
+
+
+def _worst(k: int) -> Column:
+    """The score that a further hit must reach: none while the list is short."""
+    return F.coalesce(F.get("found", F.lit(k))["score"], F.lit(float("-inf"))).alias("least")
+
+
 def _least_hashed(df: DataFrame, rows: int, total: int) -> DataFrame:
     """At most ``rows`` rows: those of least hash, looked for below a bound that about as many reach."""
     hashed = df.withColumn("_hash", F.xxhash64("vec_id", "vector", F.lit("sample")))
@@ -190,35 +216,40 @@ def _best_of(query: np.ndarray, score: np.ndarray, leaf: np.ndarray, k: int) ->
     return [query[keep], score[keep], leaf[keep]]
 
 
-def _sent(queries: DataFrame, tree: Tree, sizes: np.ndarray, shards: Shards, visits: int, k: int) -> DataFrame:
-    """(shard, h1, h2, vector, leaves): each query once for each shard that holds some of its leaves."""
+def _sent(queries: DataFrame, tree: Tree, sizes: np.ndarray, shards: Shards, passed: int, upto: int, last: bool, k: int) -> DataFrame:
+    """(shard, h1, h2, least, vector, leaves): each query once for each shard that holds some of its leaves, visits ``passed`` to ``upto``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, entries in blocks(batches, 2):
+        for batch, entries in blocks(batches, 3):
             source, shard, leaves = [], [], []
             for row, walk in enumerate(tree.visits(entries)):
                 wanted: dict[int, list[int]] = {}
                 held = 0
-                for passed, leaf in enumerate(walk):
-                    # Own row and k others: visits go on until there are so many.
-                    if passed >= visits and held > k:
+                for visit, leaf in enumerate(walk):
+                    # Own row and k others: the last visits go on until there are so many.
+                    if visit >= upto and (held > k or not last):
                         break
                     held += int(sizes[leaf])
-                    for part in range(int(shards.parts[leaf])):
+                    for part in range(int(shards.parts[leaf]) if visit >= passed else 0):
                         wanted.setdefault(int(shards.first[leaf]) + part, []).append(leaf)
                 source += [row] * len(wanted)
                 shard += list(wanted)
                 leaves += list(wanted.values())
             taken = batch.take(pa.array(source, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *taken.columns, pa.array(leaves, pa.list_(pa.int32()))], ["shard", "h1", "h2", "vector", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *taken.columns, pa.array(leaves, pa.list_(pa.int32()))], ["shard", *KEY, "least", "vector", "leaves"])
 
-    return queries.select(*KEY, "vector").mapInArrow(run, f"shard int, h1 long, h2 long, vector {queries.schema['vector'].dataType.simpleString()}, leaves array<int>")
+    chosen = queries.select(*KEY, F.coalesce("least", F.lit(float("-inf"))).alias("least"), "vector")
+    return chosen.mapInArrow(run, f"shard int, h1 long, h2 long, least double, vector {queries.schema['vector'].dataType.simpleString()}, leaves array<int>")
 
 
 def _searched(index: DataFrame, sent: DataFrame, shards: Shards, k: int) -> DataFrame:
     """The ``k`` + 1 best rows of each query in each shard: rows of a shard come first and are held, queries stream past them."""
-    rows = index.select(shards.of_rows().alias("shard"), F.lit(0).alias("kind"), "leaf", "vec_id", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "vector", F.array().cast("array<int>").alias("leaves"))
-    asking = sent.select("shard", F.lit(1).alias("kind"), F.lit(0).alias("leaf"), F.lit(0).cast("long").alias("vec_id"), "h1", "h2", "vector", "leaves")
+    zero = F.lit(0).cast("long")
+    rows = index.select(
+        shards.of_rows().alias("shard"), F.lit(0).alias("kind"), "leaf", "vec_id", zero.alias("h1"), zero.alias("h2"), F.lit(0.0).alias("least"),
+        "vector", F.array().cast("array<int>").alias("leaves"),
+    )
+    asking = sent.select("shard", F.lit(1).alias("kind"), F.lit(0).alias("leaf"), zero.alias("vec_id"), *KEY, "least", "vector", "leaves")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, shelf = None, [], None
@@ -263,7 +294,8 @@ class Shelf:
         leaf = lists.flatten().to_numpy()
         order = np.argsort(leaf, kind="stable")
         query, leaf = query[order], leaf[order]
-        least = np.full(len(entries), -np.inf)
+        given = asking.column("least").to_numpy()
+        least = given - room
         kept = []
         cuts = np.flatnonzero(np.diff(leaf)) + 1
         for group in np.split(np.arange(len(leaf)), cuts):
@@ -283,6 +315,8 @@ class Shelf:
         score = np.zeros(len(query))
         for j in range(entries.shape[1]):
             score += entries[query, j] * self.entries[row, j]
+        still = score >= given[query]
+        query, row, score = query[still], row[still], score[still]
         unnamed = self.names.is_null().to_numpy(zero_copy_only=False)[row]
         name = self.names.fill_null(0).to_numpy()[row]
         order = np.lexsort((name, unnamed, -score, query))
