@@ -7,6 +7,7 @@ grouped sum is the same in both up to the order of its terms.
 from __future__ import annotations
 
 from tasteforge.functions.hashing import uniform_sql
+from tasteforge.models import bpr_local
 from tasteforge.models.ridge import UNIT_SPREAD
 from tasteforge.plans.registry import step
 
@@ -203,6 +204,91 @@ def fm_steps(iterations: int, k: int, rate: float, reg_w: float, reg_v: float) -
     )
 
 
+def fm_als_steps(rounds: int, reg_w: float, reg_v: float) -> None:
+    """Step ``als_rated``: one factor by coordinate descent, ids and then side columns of users, then of items.
+
+    Reads the features and cells of ``fm_steps``.  In a side's sums n, m, mm are
+    those of n, n s, n s s and y, ys those of t, t s over its ratings, with the
+    other side's s; e and es are the residuals' sums, renewed after each step.
+    """
+    kinds = {"user": ("u", "us"), "item": ("i", "is")}
+    start_step(
+        "als_p0",
+        """select distinct 'u' as kind, user_id as key from fm_cells union all select distinct 'i', business_id from fm_cells
+           union all select distinct 'us', feature from fm_user union all select distinct 'is', feature from fm_item""",
+        "fm_cells fm_user fm_item",
+        1,
+        0.1,
+    )
+    own = {side: f"als_{side}_own0" for side in kinds}
+    levels = {side: f"als_{side}_levels0" for side in kinds}
+    for side, (kind, shared) in kinds.items():
+        step(own[side], "als_p0", f"select key, w, v0 as v from als_p0 where kind = '{kind}'")
+        step(levels[side], "als_p0", f"select key, w, v0 as v from als_p0 where kind = '{shared}'")
+
+    def terms(side: str, name: str) -> None:
+        """(key, w, v, a, s) of a side at this point."""
+        step(
+            name,
+            f"{own[side]} {levels[side]} fm_{side}",
+            f"""select o.key, o.w, o.v, o.w + lin + 0.5 * ((o.v + fs) * (o.v + fs) - o.v * o.v - q) as a, o.v + fs as s
+                from {own[side]} o join (
+                    select f.key, sum(value * w) as lin, sum(value * v) as fs, sum(value * value * v * v) as q
+                    from fm_{side} f join {levels[side]} l on f.feature = l.key group by 1) p on o.key = p.key""",
+        )
+
+    for n in range(1, rounds + 1):
+        for side, other in (("user", "item"), ("item", "user")):
+            tag = f"als_{side}{n}"
+            terms(side, f"{tag}_own_terms")
+            terms(other, f"{tag}_other_terms")
+            step(
+                f"{tag}_sums",
+                f"fm_cells fm_mean {tag}_other_terms",
+                f"""select c.{KEY[side]} as key, sum(n) as n, sum(n * s) as m, sum(n * s * s) as mm,
+                           sum(total - n * (fm_mean.m + a)) as y, sum((total - n * (fm_mean.m + a)) * s) as ys
+                    from fm_cells c join {tag}_other_terms o on c.{KEY[other]} = o.key, fm_mean group by 1""",
+            )
+            step(
+                f"{tag}_w",
+                f"{tag}_sums {tag}_own_terms",
+                f"""select key, n, m, mm, w + d as w, v, s, e - n * d as e, es - m * d as es from (
+                        select *, (e - {reg_w} * w) / (n + {reg_w}) as d from (
+                            select t.*, n, m, mm, y - n * a - m * s as e, ys - m * a - mm * s as es
+                            from {tag}_own_terms t join {tag}_sums q on t.key = q.key))""",
+            )
+            step(
+                f"{tag}_v",
+                f"{tag}_w",
+                f"""select key, n, m, mm, w, v + d as v, s + d as s, e - d * (c * n + m) as e, es - d * (c * m + mm) as es from (
+                        select *, (c * e + es - {reg_v} * v) / (c * c * n + 2 * c * m + mm + {reg_v}) as d
+                        from (select *, s - v as c from {tag}_w))""",
+            )
+            step(f"{tag}_own", f"{tag}_v", f"select key, w, v from {tag}_v")
+            step(
+                f"{tag}_levels",
+                f"{levels[side]} {tag}_v fm_{side}",
+                f"""select key, w + coalesce(d, 0) / columns as w, v + coalesce((gv - d * wv - {reg_v} * v) / (vv + {reg_v}), 0) / columns as v from (
+                        select *, (gw - {reg_w} * w) / (ww + {reg_w}) as d from (
+                            select l.key, l.w, l.v, sum(x * e) as gw, sum(x * ((s - x * l.v) * e + es)) as gv, sum(x * x * n) as ww,
+                                   sum(x * x * ((s - x * l.v) * n + m)) as wv,
+                                   sum(x * x * ((s - x * l.v) * (s - x * l.v) * n + 2 * (s - x * l.v) * m + mm)) as vv
+                            from {levels[side]} l left join (
+                                select f.feature, f.value as x, r.n, r.m, r.mm, r.s, r.e, r.es from fm_{side} f join {tag}_v r on f.key = r.key
+                            ) z on l.key = z.feature group by 1, 2, 3)),
+                        (select count(distinct split_part(feature, '=', 1)) as columns from fm_{side})""",
+            )
+            own[side], levels[side] = f"{tag}_own", f"{tag}_levels"
+    for side in kinds:
+        terms(side, f"als_{side}_terms")
+    step(
+        "als_rated",
+        "test fm_mean als_user_terms als_item_terms",
+        """select c.user_id, c.business_id, c.stars, coalesce(m + u.a + i.a + u.s * i.s, 'nan'::double) as prediction
+           from test c left join als_user_terms u on c.user_id = u.key left join als_item_terms i on c.business_id = i.key, fm_mean""",
+    )
+
+
 def bpr_steps(iterations: int, k: int, rate: float, reg: float) -> None:
     """Step ``bpr_scored``: candidates scored after epochs of one drawn item per positive."""
     step("bpr_codes", "train", "select business_id, row_number() over (order by business_id) - 1 as i from (select distinct business_id from train)")
@@ -251,3 +337,69 @@ def bpr_steps(iterations: int, k: int, rate: float, reg: float) -> None:
             join bpr_p{iterations} u on u.kind = 'u' and u.key = c.user_id
             join bpr_p{iterations} p on p.kind = 'i' and p.key = cast(b.i as varchar)""",
     )
+
+
+def bpr_local_steps(epochs: int, k: int, blocks: int, rate: float, reg: float) -> None:
+    """Step ``bpr_local_scored``: every block takes its positives at once, then factors become means weighted by updates."""
+    js = range(k)
+    step("bprl_users", "train", "select user_id, row_number() over (order by user_id) - 1 as u from (select distinct user_id from train)")
+    step(
+        "bprl_rows",
+        "train bpr_codes bprl_users",
+        f"""select *, row_number() over (partition by block order by u, i) - 1 as place, count(*) over (partition by block) as rows from (
+                select distinct u, i, cast(floor({uniform_sql('block', 'u', '0')} * {blocks}) as int) as block
+                from train join bpr_codes using (business_id) join bprl_users using (user_id))""",
+    )
+    factors = ", ".join(f"({uniform_sql(f'{SEED}-{j}', 'kind', 'key')} - 0.5) * 0.2 as v{j}" for j in js)
+    step(
+        "bprl_p0",
+        "bprl_rows bpr_codes",
+        f"select kind, key, 0.0::double as w, {factors} from (select distinct 'u' as kind, u as key from bprl_rows union all select 'i', i from bpr_codes)",
+    )
+    for n in range(epochs):
+        ring = f"(place * {bpr_local.STEP} + cast(floor({uniform_sql(f'{SEED}-{n}', 'block')} * {bpr_local.RING}) as bigint)) % {bpr_local.RING}"
+        step(
+            f"bprl_triples{n}",
+            "bprl_rows",
+            f"""select d.block, d.u, d.i, o.i as j from (select *, cast(({ring}) * rows as bigint) >> 32 as drawn from bprl_rows) d
+                join bprl_rows o on o.block = d.block and o.place = d.drawn
+                left join bprl_rows p on p.u = d.u and p.i = o.i where p.i is null""",
+        )
+        ahead = " + ".join(f"u.v{x} * (p.v{x} - m.v{x})" for x in js)
+        step(
+            f"bprl_z{n}",
+            f"bprl_triples{n} bprl_p{n}",
+            f"""select t.*, 1 / (1 + exp(p.w - m.w + {ahead})) as z, p.w as pw, m.w as mw,
+                       {', '.join(f'u.v{x} as u{x}, p.v{x} as p{x}, m.v{x} as m{x}' for x in js)}
+                from bprl_triples{n} t join bprl_p{n} u on u.kind = 'u' and u.key = t.u
+                join bprl_p{n} p on p.kind = 'i' and p.key = t.i join bprl_p{n} m on m.kind = 'i' and m.key = t.j""",
+        )
+        moved = " union all ".join(
+            [
+                f"select block, 'u' as kind, u as key, 0.0::double as gw, {', '.join(f'z * (p{x} - m{x}) - {reg} * u{x} as g{x}' for x in js)} from bprl_z{n}",
+                f"select block, 'i', i, z - {reg} * pw, {', '.join(f'z * u{x} - {reg} * p{x}' for x in js)} from bprl_z{n}",
+                f"select block, 'i', j, -z - {reg} * mw, {', '.join(f'-z * u{x} - {reg} * m{x}' for x in js)} from bprl_z{n}",
+            ]
+        )
+        names = {"w": "gw", **{f"v{x}": f"g{x}" for x in js}}
+        step(
+            f"bprl_sums{n}",
+            f"bprl_z{n}",
+            f"select block, kind, key, count(*) as n, {', '.join(f'sum({g}) as {g}' for g in names.values())} from ({moved}) group by 1, 2, 3",
+        )
+        step(
+            f"bprl_p{n + 1}",
+            f"bprl_p{n} bprl_sums{n}",
+            f"""select p.kind, p.key, {', '.join(f'coalesce({c}_mean, p.{c}) as {c}' for c in names)} from bprl_p{n} p left join (
+                    select s.kind, s.key, {', '.join(f'sum(n * ({c} + {rate} * {g})) / sum(n) as {c}_mean' for c, g in names.items())}
+                    from bprl_sums{n} s join bprl_p{n} b on s.kind = b.kind and s.key = b.key group by 1, 2
+                ) q on p.kind = q.kind and p.key = q.key""",
+        )
+    step(
+        "bpr_local_scored",
+        f"test bpr_codes bprl_users bprl_p{epochs}",
+        f"""select t.user_id, t.business_id, p.w + {' + '.join(f'u.v{x} * p.v{x}' for x in js)} as prediction
+            from (select distinct user_id, business_id from test) t join bprl_users a on t.user_id = a.user_id
+            join bpr_codes b on t.business_id = b.business_id
+            join bprl_p{epochs} u on u.kind = 'u' and u.key = a.u join bprl_p{epochs} p on p.kind = 'i' and p.key = b.i""",
+    )

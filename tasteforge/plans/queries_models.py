@@ -71,7 +71,11 @@ FM_RATE, BPR_RATE = 0.2, 0.1
 model_steps.mf_steps(0.1, TRAINED)
 model_steps.cmf_steps(0.1, TRAINED, 0.3, 0.2)
 model_steps.fm_steps(4, 2, FM_RATE, 0.1, 0.5)
+ALS_ROUNDS, ALS_REG = 2, (1.0, 1.0)
+model_steps.fm_als_steps(ALS_ROUNDS, *ALS_REG)
 model_steps.bpr_steps(4, 8, BPR_RATE, 0.001)
+LOCAL_EPOCHS, LOCAL_FACTORS, LOCAL_BLOCKS, LOCAL_RATE = 3, 3, 4, 0.05
+model_steps.bpr_local_steps(LOCAL_EPOCHS, LOCAL_FACTORS, LOCAL_BLOCKS, LOCAL_RATE, 0.001)
 
 
 def rated_sql(table: str, columns: str = "user_id, business_id, stars") -> str:
@@ -200,16 +204,25 @@ def model_cmf_rank2(spark, sf_dir):
 @query("model_fm_predict", "fm_rated", rated_sql("fm_rated"))
 def model_fm_predict(spark, sf_dir):
     train, test = data.split(spark, sf_dir)
-    model = FactorisationMachine(n_iter=4, rank=2, model_info_used="Both", rate=FM_RATE)
+    model = FactorisationMachine(n_iter=4, rank=2, model_info_used="Both", rate=FM_RATE, solver="gradient")
     model.fit(train, *side_tables(spark, sf_dir))
     return rounded_predictions(model.transform(test.select("user_id", "business_id", "stars")))
 
 
-# The published number of iterations; the queries of 4 steps are those that SQL repeats.
+# One factor and few rounds, whose steps SQL can repeat.
+@query("model_fm_als_rank1", "als_rated", rated_sql("als_rated"))
+def model_fm_als_rank1(spark, sf_dir):
+    train, test = data.split(spark, sf_dir)
+    model = FactorisationMachine(n_iter=ALS_ROUNDS, rank=1, l2_reg_w=ALS_REG[0], l2_reg_V=ALS_REG[1], model_info_used="Both")
+    model.fit(train, *side_tables(spark, sf_dir))
+    return rounded_predictions(model.transform(test.select("user_id", "business_id", "stars")))
+
+
+# The published number of iterations; the queries of few steps are those that SQL repeats.
 @query("model_fm_published")
 def model_fm_published(spark, sf_dir):
     train, test = data.split(spark, sf_dir)
-    model = FactorisationMachine(n_iter=PUBLISHED, rank=2, model_info_used="Both", rate=FM_RATE)
+    model = FactorisationMachine(n_iter=PUBLISHED, rank=2, l2_reg_w=1.0, l2_reg_V=1.0, model_info_used="Both")
     model.fit(train, *side_tables(spark, sf_dir))
     return model.transform(test.select("user_id", "business_id", "stars"))
 
@@ -221,10 +234,18 @@ def model_bpr_published(spark, sf_dir):
     return model.transform(candidates.withColumnRenamed("candidate_id", "business_id"))
 
 
+# A block's positives taken at once, in stated blocks: steps that SQL can repeat.
+@query("model_bpr_local_steps", "bpr_local_scored", rated_sql("bpr_local_scored", "user_id, business_id"))
+def model_bpr_local_steps(spark, sf_dir):
+    train, test = data.split(spark, sf_dir)
+    model = BPR(factors=LOCAL_FACTORS, iteration=LOCAL_EPOCHS, regularization=0.001, learning_rate=LOCAL_RATE, blocks=LOCAL_BLOCKS, batch=0)
+    return rounded_predictions(model.fit(train).transform(test.select("user_id", "business_id").distinct()))
+
+
 @query("model_bpr_predict", "bpr_scored", rated_sql("bpr_scored", "user_id, business_id"))
 def model_bpr_predict(spark, sf_dir):
     train, test, candidates = bias_inputs(spark, sf_dir)
-    model = BPR(factors=8, iteration=4, regularization=0.001, learning_rate=BPR_RATE).fit(train)
+    model = BPR(factors=8, iteration=4, regularization=0.001, learning_rate=BPR_RATE, solver="gradient").fit(train)
     return rounded_predictions(model.transform(candidates.withColumnRenamed("candidate_id", "business_id")))
 
 
