@@ -12,9 +12,15 @@ from tasteforge.sources.shared import stage
 GROUP = ["top_category", "state"]
 CANDIDATE = "candidate_id"
 
-# Fixed: primes above any group size.  A prime larger than the group is coprime
-# to it, so stepping through the group by one of them visits every member once.
-STRIDES = [2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857]
+# Rounds of the shuffle that gives every pair its own order, and the prime that
+# its coin tosses are taken under.
+ROUNDS = 8
+PRIME = 2**31 - 1
+# The bit of a number that is the coin: low ones follow the places' own parity too closely.
+COIN = 1024
+# Tasks that draw, as a multiple of the shuffle partitions: pairs are few bytes
+# before they are multiplied, so adaptive execution would put them together.
+DRAW_TASKS = 4
 
 # Groups smaller than this are repeated so that their few members do not become
 # the hot keys of the lookup join.
@@ -81,30 +87,28 @@ def sample_negatives(
     """(user_id, business_id, candidate_id): negatives for each test pair.
 
     Every pair gets min(per_pair, group size - 1) different items of its item's
-    (category, state) group, never the item itself.  The group is numbered once
-    in hashed order; each pair starts at a hashed place among the other members
-    and steps by a hashed prime, which meets each of them once.  The cost is
-    pairs x per_pair lookups, whatever the group size.
+    (category, state) group, never the item itself.  The group is numbered once;
+    a pair draws the first places of its own order of the other members
+    (``shuffled_place``).  The cost is pairs x per_pair lookups, whatever the
+    group size.
     """
     # Read twice below: by item for the pairs, by place for the draws.
     numbered = stage(number_items(items, seed, rows_per_slice), "numbered-items")
     pairs = join_sliced(test.select(USER, ITEM).distinct(), numbered, [ITEM], rows_per_slice=rows_per_slice)
     size = F.col("_group_size")
-    others = size - 1
+    words = [F.conv(F.substring("_digest", 8 * n + 1, 8), 16, 10).cast("long").alias(f"_w{n}") for n in range(4)]
     # The other members form a ring that begins after the item's own place.
-    pairs = pairs.filter(others > 0).select(
-        USER,
-        ITEM,
-        *GROUP,
-        "_group_size",
-        (F.col("_place") + 1).alias("_first"),
-        F.floor(uniform(f"{seed}-start", USER, ITEM) * others).alias("_start"),
-        (F.element_at(F.array(*[F.lit(p) for p in STRIDES]), _pick(seed)) % others).alias("_step"),
+    pairs = pairs.filter(size > 1).withColumn("_digest", F.md5(F.concat_ws("|", USER, ITEM, F.lit(f"{seed}-order"))))
+    pairs = pairs.select(
+        USER, ITEM, *GROUP, "_group_size", (size - 1).alias("_others"), (F.col("_place") + 1).alias("_first"), *words,
         F.pmod(F.xxhash64(USER, ITEM), _repeats(size)).alias("_repeat"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(per_pair), others) - 1)).alias("_j"),
-    )
-    place = (F.col("_first") + (F.col("_start") + F.col("_j") * F.col("_step")) % others) % size
-    drawn = pairs.select(USER, ITEM, *GROUP, "_repeat", place.alias("_place"))
+    )
+    tasks = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out before they are multiplied.  A pair's places are worked out in its row, below the explode, which is an
+    # outer one because Spark would put a test for empty lists, with all rounds in it, below any other.
+    dealt = pairs.repartition(DRAW_TASKS * tasks, USER, ITEM)
+    places = f"transform(sequence(0L, least({per_pair}L, _others) - 1), _j -> (_first + {shuffled_place('_j')}) % _group_size)"
+    drawn = dealt.select(USER, ITEM, *GROUP, "_repeat", F.explode_outer(F.expr(places)).alias("_place"))
     looked_up = numbered.select(
         *GROUP,
         "_place",
@@ -114,8 +118,28 @@ def sample_negatives(
     return drawn.join(looked_up, [*GROUP, "_place", "_repeat"]).select(USER, ITEM, CANDIDATE)
 
 
-def _pick(seed: int | str) -> Column:
-    return F.floor(uniform(f"{seed}-stride", USER, ITEM) * len(STRIDES)).cast("int") + 1
+def shuffle_round(n: str, x: str, y: str) -> tuple[str, str]:
+    """Texts of a round, for Spark and for DuckDB: the partner of place ``x``, and the place after the round, given the partner as ``y``.
+
+    A round pairs x with K - x, for a key K of the round, and a coin that
+    depends on the pair of places decides whether both change: the swap-or-not
+    shuffle (Hoang, Morris, Rogaway 2012).  It maps 0 .. _others - 1 onto itself
+    for any size, so there is nothing to walk past.
+    """
+    partner = f"(((_w1 * (2 * {n} + 1) + _w2 * {n} * {n}) % {PRIME} % _others - {x} + _others) % _others)"
+    coin = f"((greatest({x}, {y}) * (1 + (_w3 + {n} * _w0) % {PRIME - 1}) + _w2 + {n} * _w3) % {PRIME} & {COIN})"
+    return partner, f"(case when {coin} = {COIN} then {y} else {x} end)"
+
+
+def shuffled_place(number: str) -> str:
+    """Text of the place of ``number`` in the order of 0 .. _others - 1 that _w0 .. _w3 key.
+
+    One expression: a column per round would put each round's text into the
+    constraints that the optimiser derives for the next.
+    """
+    partner, _ = shuffle_round("n", "x", "")
+    _, moved = shuffle_round("n", "x", partner)
+    return f"aggregate(sequence(0, {ROUNDS - 1}), ({number} + _w0) % _others, (x, n) -> {moved})"
 
 
 def _repeats(size: Column) -> Column:

@@ -77,21 +77,23 @@ step(
 
 def negatives_sql(per_pair: int) -> str:
     """Negatives drawn place by place, as text for DuckDB."""
-    start = uniform_sql(f"{SEED}-start", "user_id", "business_id")
-    pick = uniform_sql(f"{SEED}-stride", "user_id", "business_id")
-    strides = ", ".join(str(p) for p in sampling.STRIDES)
-    return f"""
-        select d.user_id, d.business_id, n.business_id as candidate_id from (
-            select *, (place + 1 + (s + j * stride) % (size - 1)) % size as drawn from (
-                select p.*, unnest(range(0, least({per_pair}, size - 1))) as j from (
-                    select t.user_id, t.business_id, m.top_category, m.state, m.place, m.size,
-                           cast(floor(t.s * (m.size - 1)) as bigint) as s,
-                           ([{strides}])[cast(floor(t.p * {len(sampling.STRIDES)}) as int) + 1] % (m.size - 1) as stride
-                    from (select distinct user_id, business_id, {start} as s, {pick} as p from test) t
-                    join numbered m on t.business_id = m.business_id where m.size > 1
-                ) p
+    words = ", ".join(f"cast('0x' || substr(digest, {8 * n + 1}, 8) as bigint) as _w{n}" for n in range(4))
+    drawn = f"""
+        select p.*, (_j + _w0) % _others as _x from (
+            select *, unnest(range(0, least({per_pair}, _others))) as _j from (
+                select t.user_id, t.business_id, m.top_category, m.state, m.place, m.size, m.size - 1 as _others, {words}
+                from (select *, md5(concat_ws('|', user_id, business_id, '{SEED}-order')) as digest
+                      from (select distinct user_id, business_id from test)) t
+                join numbered m on t.business_id = m.business_id where m.size > 1
             )
-        ) d join numbered n on d.top_category = n.top_category and d.state = n.state and d.drawn = n.place"""
+        ) p"""
+    for n in range(sampling.ROUNDS):
+        partner, moved = sampling.shuffle_round(str(n), "_x", "_y")
+        drawn = f"select * replace ({moved} as _x) from (select *, {partner} as _y from ({drawn}))"
+        drawn = f"select * exclude (_y) from ({drawn})"
+    return f"""
+        select d.user_id, d.business_id, n.business_id as candidate_id from (select *, (place + 1 + _x) % size as drawn from ({drawn})) d
+        join numbered n on d.top_category = n.top_category and d.state = n.state and d.drawn = n.place"""
 
 
 step("negatives", "test numbered", negatives_sql(NEGATIVES))

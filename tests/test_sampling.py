@@ -56,6 +56,30 @@ def test_negatives_cover_the_group_evenly(spark, items):
     assert 50 < min(hits.values()) and max(hits.values()) < 160
 
 
+def test_pairs_of_a_group_have_orders_of_their_own(spark, items):
+    pairs = spark.range(40).selectExpr("concat('u', cast(id as string)) as user_id", "'b5' as business_id")
+    lists = {}
+    for u, _, c in drawn(sampling.sample_negatives(pairs, items, 60)):
+        lists.setdefault(u, set()).add(c)
+    # 60 of 299 twice by chance: 60 * 60 / 299 = 12 in common on average, deviation 2.8.
+    common = [len(lists[a] & lists[b]) for a in lists for b in lists if a < b]
+    assert abs(sum(common) / len(common) - 60 * 60 / 299) < 0.5
+    assert max(common) < 30 and min(common) > 0
+
+
+@pytest.mark.parametrize("others", [1, 2, 3, 7, 64, 299])
+def test_the_shuffle_maps_a_group_onto_itself(spark, others):
+    rows = spark.range(others).selectExpr("id as _j", f"cast({others} as bigint) as _others", "4000000000 as _w0", "123456789L as _w1", "987654321L as _w2", "55555L as _w3")
+    assert sorted(r[0] for r in rows.selectExpr(sampling.shuffled_place("_j")).collect()) == list(range(others))
+
+
+def test_draws_are_spread_over_tasks(spark, items):
+    pairs = spark.range(400).selectExpr("concat('u', cast(id as string)) as user_id", "'b5' as business_id")
+    plan = sampling.sample_negatives(pairs, items, 50)._jdf.queryExecution().executedPlan().toString()
+    tasks = sampling.DRAW_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan
+
+
 def test_key_sample_is_repeatable_and_near_its_ratio(spark):
     df = spark.range(4000).selectExpr("concat('u', cast(id % 2000 as string)) as user_id")
     one = {r[0] for r in sampling.sample_keys(df.repartition(3), "user_id", 0.3).collect()}
