@@ -1,17 +1,22 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
 
-1. language ID: documents in which no language is found go;
+1. language ID: documents in which no language is found go; where no row is labelled nothing can be learned and all stay;
 2. near-dedup: of each group of near copies (five words, similarity 0.8) the one of smallest doc_id stays;
 3. secret scan: every secret found in a text is replaced by a mark;
 4. mixture: documents are repeated or cut to what their source's target takes, in the order of their training positions;
-5. BPE: texts become ids, and ids the text that they stand for.
+5. BPE: texts become ids, and ids the text that they stand for, still in that order.
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``.  Between stages 4
+and 5 the order lies in the files: a row's ``position`` is made of the number
+of its part file and its place in it, and the result is sorted by it again.
+Documents that come from no Parquet files have no order to keep: their
+position is null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tasteforge.llm import bpe, language_id, mixture, near_dedup, secret_scan
 from tasteforge.llm.common import documents
@@ -29,6 +34,8 @@ BANDS, ROWS = 64, 6
 
 def identify_language(spark: SparkSession, docs: Frame, sf_dir: str) -> Frame:
     # Columns of the documents that are named like an output step aside meanwhile.
+    if docs.filter(~language_id.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).isEmpty():
+        return docs
     given = {c: f"_given_{c}" for c in docs.columns if c in language_id.OUTPUTS}
     found = language_id.identify(docs.withColumnsRenamed(given)).filter(F.col("lang_pred") != language_id.UNDETERMINED)
     return found.select(*[F.col(given.get(c, c)).alias(c) for c in docs.columns])
@@ -47,8 +54,26 @@ def mix_sources(spark: SparkSession, docs: Frame, sf_dir: str) -> Frame:
     return mixture.order_by_position(docs, mixture.mix(docs))
 
 
+# Bits of a position: the part file, the file of that part, the row of that file.
+PART_BITS, FILE_BITS = 40, 32
+
+
+def file_position() -> Column:
+    """Rises with the order in which a sorted table was written."""
+    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(number(r"^part-(\d+)"), PART_BITS) + F.shiftleft(number(r"-c(\d+)\."), FILE_BITS) + F.col("_metadata.row_index")
+
+
 def tokenize(spark: SparkSession, docs: Frame, sf_dir: str) -> Frame:
-    return bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    try:
+        placed = docs.select(file_position().alias("position"), "doc_id", "text")
+        placed.schema
+    except AnalysisException:
+        return bpe.decode(bpe.encode(docs.select("doc_id", "text"))).withColumn("position", F.lit(None).cast("long"))
+    # Encoded by position, which no two rows share, so passes of one document are told apart and spread.
+    encoded = bpe.encode(placed.select(F.col("position").alias("doc_id"), "text")).withColumnRenamed("doc_id", "position")
+    named = placed.select("position", "doc_id").join(encoded, "position").select("doc_id", "position", "input_ids")
+    return bpe.decode(named.repartitionByRange("position").sortWithinPartitions("position"))
 
 
 STAGES = [

@@ -601,3 +601,32 @@ def test_pipeline(spark, given):
             assert sum(len(words_of(r["text"])) for r in docs.collect()) == pytest.approx(sum(len(words_of(t)) for t in texts(before).values()), rel=0.01)
     assert docs.filter("size(input_ids) = 0").count() == 0
     assert corpus_pipeline.run(spark, SF_DIR).count() == docs.count()
+
+
+def test_pipeline_keeps_the_order_of_the_mix(spark, given):
+    import corpus_pipeline
+    from tasteforge.llm.common import documents
+    from tasteforge.sources.shared import stage
+
+    docs = documents(spark, SF_DIR)
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        docs = stage(function(spark, docs, SF_DIR), f"test-{name}")
+    # Read in one task and file by file: the order that was written.
+    written = [(r["doc_id"], r["text"]) for name in sorted(docs.inputFiles()) for r in spark.read.parquet(name).coalesce(1).collect()]
+    result = stage(corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR), "test-bpe")
+    rows_of = [r for name in sorted(result.inputFiles()) for r in spark.read.parquet(name).coalesce(1).collect()]
+    positions = [r["position"] for r in rows_of]
+    assert positions == sorted(set(positions)) and len(positions) == len(written)
+    assert [r["doc_id"] for r in rows_of] == [i for i, _ in written]
+    own = bpe.tokenizer(bpe.default_path())
+    assert [r["input_ids"] for r in rows_of[:30]] == [own.encode(t or "", add_special_tokens=False).ids for _, t in written[:30]]
+
+
+def test_pipeline_keeps_documents_when_nothing_is_labelled(spark, odd, empty):
+    import corpus_pipeline
+
+    stage_of = dict(corpus_pipeline.STAGES)["language_id"]
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = stage_of(spark, bare, SF_DIR)
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert stage_of(spark, empty, SF_DIR).count() == 0
