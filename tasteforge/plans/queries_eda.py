@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tasteforge.operators import eda
 from tasteforge.operators.prep import active_users
 from tasteforge.plans import data
 from tasteforge.plans.registry import query, step
 from tasteforge.sources import views
+from tasteforge.sources.shared import stage
 
 step("reviews", "ratings features", "select user_id, business_id, state, top_category from ratings join features using (business_id)")
 step(
@@ -56,6 +59,16 @@ def category_histogram(spark, sf_dir):
     return eda.category_histogram(pairs(spark, sf_dir))
 
 
+# Estimates: tests hold them against the exact tables, SQL has no such sketch.
+@query("distinct_sketched")
+def distinct_sketched(spark, sf_dir):
+    """The counts per (state, category), per state and per category from one scan; null stands for all."""
+    finest = stage(eda.distinct_sketches(reviews(spark, sf_dir), ["state", "top_category"]), "distinct-sketches")
+    by_state = eda.merge_sketches(finest, ["state"]).withColumn("top_category", F.lit(None).cast("string"))
+    by_category = eda.merge_sketches(finest, ["top_category"]).withColumn("state", F.lit(None).cast("string"))
+    return eda.sketched_counts(finest.unionByName(by_state).unionByName(by_category))
+
+
 @query("top_category_by_state", "state_top", "select * from state_top")
 def top_category_by_state(spark, sf_dir):
     return eda.top_category_by_state(eda.distinct_by(pairs(spark, sf_dir), ["state", "top_category"]))
@@ -70,7 +83,7 @@ def top_category_by_state(spark, sf_dir):
        from by_state s left join state_top t on s.state = t.state""",
 )
 def state_summary(spark, sf_dir):
-    distinct = pairs(spark, sf_dir)
+    distinct = stage(pairs(spark, sf_dir), "distinct-pairs")
     top = eda.top_category_by_state(eda.distinct_by(distinct, ["state", "top_category"]))
     return eda.state_summary(eda.distinct_by(distinct, ["state"]), top)
 
