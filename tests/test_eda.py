@@ -40,3 +40,13 @@ def test_merged_sketches_are_those_of_the_whole(spark):
     assert merged == rows_by(eda.sketched_counts(eda.distinct_sketches(reviews, ["state"])), ["state"])
     assert merged == rows_by(eda.distinct_by(eda.distinct_pairs(reviews), ["state"]), ["state"])
     assert eda.sketched_counts(eda.distinct_sketches(reviews.limit(0), ["state"])).collect() == []
+
+
+def test_standardise_knows_number_columns_by_type(spark):
+    from tasteforge.operators.features import number_columns, standardise, vectorise
+
+    info = spark.createDataFrame([("a", 1.0, "x"), ("b", 3.0, "y")], "user_id string, `rate=5` double, kind string")
+    scaled = standardise(vectorise(info, "user_id"), "user_id", number_columns(info, "user_id"))
+    got = {(r.user_id, r.feature): r.value for r in scaled.collect()}
+    assert got[("a", "rate=5")] == -got[("b", "rate=5")] == pytest.approx(-(0.5**0.5))
+    assert got[("a", "kind=x")] == got[("b", "kind=y")] == 1.0
