@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tasteforge.llm.common import few_rows, mixed
+from tasteforge.llm.common import few_rows, mixed, ranges
 
 LEAST = 12
 # Texts are scanned together until they hold so many words.
@@ -124,13 +124,6 @@ def runs_in(codes: np.ndarray, marks: np.ndarray, least: int = LEAST) -> np.ndar
     return spans[np.lexsort((spans[:, 2], spans[:, 0]))]
 
 
-def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """start, .., end - 1 of each pair, one after the other."""
-    sizes = ends - starts
-    before = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(starts - before, sizes)
-
-
 def neighbours(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest earlier and later place of the same word: -1 and the number of places where there is none."""
     order = np.argsort(codes, kind="stable")

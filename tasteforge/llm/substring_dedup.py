@@ -29,20 +29,23 @@ broadcast automata of bounded shards.
 
 Null or blank text: no words.  Texts shorter than a window stay whole.  Rows
 repeated with one doc_id are one document and remove nothing from each other.
+Rows with null doc_id come after all others, as one document.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tasteforge.llm.automaton import SuffixAutomaton
 from tasteforge.llm.blocks import block_count, pack, unpacked
-from tasteforge.llm.common import WordCodes, few_rows, mixed, window_hashes
+from tasteforge.llm.common import SPACES, few_rows, mixed, ranges, window_hashes
 
 WIDTH = 13
 ANCHOR = 5
@@ -50,6 +53,11 @@ HOT_DOCS = 10_000
 BLOCK_BYTES = 8_000_000
 SHARD_WORDS = 200_000
 UNIQUE, SHARED, HOT = 0, 1, 2
+# Rows without an id come after all others.
+LAST = 2**63 - 1
+CODED_AT_ONCE = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 STATES, FIRSTS = 0, 1
 RIGHT = "block int, bucket int, kind int, entries array<long>"
 
@@ -62,22 +70,22 @@ class Block:
     """
 
     def __init__(self, table: pa.Table, width: int = WIDTH, keep_words: bool = True):
-        codes = WordCodes()
         self.doc_ids: list = []
         self.words: list[bytes] = []
         sizes, parts = [], []
         for batch in unpacked(table):
             self.doc_ids += batch["doc_id"].to_pylist()
-            for text in batch["text"].to_pylist():
-                words = text.split() if text else []
-                sizes.append(len(words))
-                parts.append(codes.of(words))
+            texts = [text or b"" for text in batch["text"].to_pylist()]
+            for begin, end in together(list(map(len, texts))):
+                counts, codes = word_codes(texts[begin:end])
+                sizes.append(counts)
+                parts.append(codes)
                 if keep_words:
-                    self.words += words
-        self.sizes = np.array(sizes, np.int64)
-        numbers = np.array([-1 if d is None else d for d in self.doc_ids], np.int64)
-        coded = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sizes)), self.sizes)
+                    self.words += b" ".join(texts[begin:end]).split()
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+        numbers = np.array([LAST if d is None else d for d in self.doc_ids], np.int64)
+        coded = np.concatenate([np.zeros(0, np.uint64), *parts])
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         runs = window_hashes(coded, ANCHOR)
         n = len(coded) - width + 1
         self.begin = self.end = self.anchor = self.doc = np.zeros(0, np.int64)
@@ -137,9 +145,59 @@ class Block:
         return least, seen
 
 
-def hash_words(words: Sequence[bytes]) -> int:
-    import xxhash
+def together(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CODED_AT_ONCE bytes."""
+    begin, held = 0, 0
+    for n, size in enumerate(sizes):
+        held += size
+        if held >= CODED_AT_ONCE:
+            yield begin, n + 1
+            begin, held = n + 1, 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+@lru_cache(maxsize=1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2^64."""
+    size = 2 * CODED_AT_ONCE + 1
+    ups, downs = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 2**64), np.uint64)
+    ups[0] = downs[0] = 1
+    return np.cumprod(ups), np.cumprod(downs)
 
+
+def word_codes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, code of each word): equal words have equal codes, others hardly ever.
+
+    A word's code is a polynomial in its bytes, as a difference of running
+    sums, so there is no step per word.  Codes choose and compare anchors;
+    passages are compared as texts.
+    """
+    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = IS_SPACE[joined]
+    edges = np.diff(np.concatenate([[True], space]).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    counts = np.diff(np.searchsorted(starts, offsets))
+    codes = np.zeros(len(starts), np.uint64)
+    ups, downs = powers()
+    at = 0
+    while at < len(starts):
+        # Words from here on whose bytes fit the table of powers; a longer word is hashed by itself.
+        upto = int(np.searchsorted(ends, starts[at] + len(ups) - 1, "right"))
+        if upto == at:
+            codes[at] = xxhash.xxh3_64_intdigest(joined[starts[at] : ends[at]].tobytes())
+            at += 1
+            continue
+        low, high = int(starts[at]), int(ends[upto - 1])
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(joined[low:high] * ups[: high - low])])
+        s, e = starts[at:upto] - low, ends[at:upto] - low
+        codes[at:upto] = mixed(((running[e] - running[s]) * downs[s]) ^ ((e - s).astype(np.uint64) << np.uint64(48)))
+        at = upto
+    return counts, codes
+
+
+def hash_words(words: Sequence[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63
 
 
@@ -232,13 +290,13 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, hot_docs: int = HOT_DO
         block = Block(left, width)
         state = run_states(block, right, n)
         least, seen = block.distinct(state, width)
-        firsts = passage_firsts(list(least), right, n, width)
+        firsts, starts = passage_firsts(list(least), right, n, width)
         delta = np.zeros(len(block.words) + 1, np.int32)
-        for number, begin, end, doc in seen:
-            for w, first in zip(range(begin, end + 1), firsts[number], strict=True):
-                if first < doc:
-                    delta[w] += 1
-                    delta[w + width] -= 1
+        number, begin, end, doc = np.array(seen, np.int64).reshape(-1, 4).T
+        windows = ranges(begin, end + 1)
+        later = firsts[ranges(starts[number], starts[number] + end + 1 - begin)] < np.repeat(doc, end + 1 - begin)
+        np.add.at(delta, windows[later], 1)
+        np.add.at(delta, windows[later] + width, -1)
         gone = np.cumsum(delta[:-1]) > 0
         kept, removed, at = [], [], 0
         for size in block.sizes.tolist():
@@ -288,19 +346,18 @@ def run_states(block: Block, right: pa.Table, buckets: int) -> np.ndarray:
     return state[order][np.searchsorted(keys[order], block.anchor)] if len(keys) else np.zeros(0, np.int64)
 
 
-def passage_firsts(names: list[tuple[int, bytes]], right: pa.Table, buckets: int, width: int) -> list[list[int]]:
-    """Least documents of the windows of each distinct passage, from answers in the order they were sent."""
+def passage_firsts(names: list[tuple[int, bytes]], right: pa.Table, buckets: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least documents of the windows of all distinct passages, from answers in the order they were sent, and where each passage's begin."""
     values = answers_of(right, FIRSTS)
-    out: list[list[int]] = [[]] * len(names)
+    starts = np.zeros(len(names), np.int64)
     at = 0
     for part in by_bucket(shard_of(np.array([k for k, _ in names], np.int64), buckets)):
         for i in part:
-            size = names[i][1].count(b" ") + 2 - width
-            out[i] = values[at : at + size].tolist()
-            at += size
+            starts[i] = at
+            at += names[i][1].count(b" ") + 2 - width
     if at != len(values):
         raise RuntimeError(f"{at} windows, answers for {len(values)}")
-    return out
+    return values, starts
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS) -> DataFrame:

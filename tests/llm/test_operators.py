@@ -630,3 +630,28 @@ def test_pipeline_keeps_documents_when_nothing_is_labelled(spark, odd, empty):
     kept = stage_of(spark, bare, SF_DIR)
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert stage_of(spark, empty, SF_DIR).count() == 0
+
+
+def test_substrings_of_rows_without_id(spark):
+    text = " ".join(f"w{n}" for n in range(20))
+    rows_ = [(None, text), (1, text), (None, text), (-1, "other words before " + text), (2, "short")]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got)
+    assert found == [(False, -1, 23, 0), (False, 1, 20, 20), (False, 2, 1, 0), (True, 0, 20, 20), (True, 0, 20, 20)]
+    alone = substring_dedup.dedup_substrings(spark.createDataFrame([(None, text), (None, text)], "doc_id long, text string"))
+    assert [r["n_removed"] for r in alone.collect()] == [0, 0]
+
+
+def test_word_codes_are_those_of_words():
+    import random
+
+    draw = random.Random(2)
+    texts = ["".join(draw.choice("ab \t\n\x0b\r\x0cé") for _ in range(draw.randrange(60))).encode() for _ in range(200)]
+    texts += [b"", b"   ", b"x" * (3 << 20), b"y " * 700_000 + b"x" * (3 << 20), b"ab"]
+    counts, codes = substring_dedup.word_codes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts] and len(codes) == len(words)
+    code_of = {}
+    for word, code in zip(words, codes.tolist()):
+        assert code_of.setdefault(word, code) == code
+    assert len(set(code_of.values())) == len(code_of)
