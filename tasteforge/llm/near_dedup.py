@@ -12,7 +12,9 @@ misses all of them with probability 2.3e-7.
 
 Exact checks, on full sets of shingles:
 
-1. Texts with one set are a class; its smallest doc_id stands for it.
+1. Texts with one set are a class; its first document stands for it.  Classes are
+   numbered in the order of those, so the smallest number of a component leads
+   to its smallest doc_id.
 2. Each member of a bucket is compared with the bucket's smallest member.
 3. A bucket whose members do not end up in one component is searched on: its
    members outside its largest component are compared with all its members, in
@@ -24,8 +26,10 @@ compared, and no member is left out.  Components follow from the links.
 
 Words are lower-cased (A-Z) runs of ``[^\\x20\\x09-\\x0D]``.  Fewer words than a
 shingle has make one shingle; null or blank text has none and is linked with
-nothing.  doc_id names a document: rows repeated with one doc_id are one
-document.  An empty table gives an empty result.
+nothing.  A document is a doc_id with its text: rows that repeat both are one
+document, and each text of a repeated doc_id is judged by itself.  Rows without
+doc_id come after all others and come back each; of a component without any
+doc_id the first text is kept.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,10 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tasteforge.llm.common import ASCII_LOWER, WordCodes, few_rows, mixed, window_hashes
 from tasteforge.llm.components import components
+from tasteforge.operators.codes import number_rows
 from tasteforge.sources.shared import stage
 
 BANDS, ROWS = 48, 8
@@ -86,7 +91,7 @@ def band_hashes(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands); no set_key and bands without shingles."""
+    """(doc_id, text_key, n_shingles, set_key, bands) of each row; no set_key and bands without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
@@ -98,25 +103,35 @@ def sketch_documents(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS,
                 lists = pa.array([b if len(s) else None for s, b in zip(sets, hashes, strict=True)], pa.list_(pa.int64()))
                 keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], sizes, keys, lists], names=["doc_id", "n_shingles", "set_key", "bands"])
+                names = ["doc_id", "text_key", "n_shingles", "set_key", "bands"]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], sizes, keys, lists], names=names)
 
-    return as_bytes(docs).transform(few_rows).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    result = "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>"
+    return as_bytes(docs).transform(few_rows).mapInArrow(run, result)
+
+
+def text_key(text: str | Column) -> Column:
+    """128 bits that stand for a text; null and empty text have the same."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.md5(F.coalesce(column.cast("binary"), F.lit(b""))))
 
 
 def as_bytes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_key("text").alias("text_key"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``wanted`` (column doc_id)."""
+    """(node, shingles) of the documents in ``wanted`` (columns rep_id, rep_text, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in batches:
             sets = [shingle_set(t or b"", codes, width).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return as_bytes(docs).join(wanted, "doc_id", "left_semi").transform(few_rows).mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    named = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_text"))
+    found = as_bytes(docs).join(wanted.select("rep_id", "rep_text", "node"), named).select("node", "text")
+    return found.transform(few_rows).mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
@@ -136,8 +151,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
             keep = pa.array([similar(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), threshold) for pair in pairs_of_sets], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
+    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
+    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "one", "other").transform(few_rows).mapInArrow(run, "a long, b long")
 
 
@@ -154,7 +169,7 @@ def block_links(left: pa.Table, right: pa.Table, threshold: int = THRESHOLD) ->
     block has joined are not compared again.
     """
     found: list[tuple[int, int]] = []
-    ids, labels = right["doc_id"].to_pylist(), right["component"].to_pylist()
+    ids, labels = right["node"].to_pylist(), right["component"].to_pylist()
     sets = [np.frombuffer(s, np.uint64) for s in right["shingles"].to_pylist()]
     maps = np.array([parity(s) for s in sets]) if sets else np.zeros((0, PARITY_BITS // 64), np.uint64)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -165,7 +180,7 @@ def block_links(left: pa.Table, right: pa.Table, threshold: int = THRESHOLD) ->
             x = parent[x]
         return x
 
-    for own, label, packed in zip(left["doc_id"].to_pylist(), left["component"].to_pylist(), left["shingles"].to_pylist(), strict=True):
+    for own, label, packed in zip(left["node"].to_pylist(), left["component"].to_pylist(), left["shingles"].to_pylist(), strict=True):
         query = np.frombuffer(packed, np.uint64)
         differ = np.bitwise_count(maps ^ parity(query)).sum(axis=1, dtype=np.int64)
         # similarity >= t/100 means 100 differences <= (100 - t)/(100 + t) of both sizes together
@@ -179,12 +194,11 @@ def block_links(left: pa.Table, right: pa.Table, threshold: int = THRESHOLD) ->
 
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, doc_id, component, is_query) of buckets of three or more with several components.
+    """(bucket, node, component, is_query) of buckets of three or more with several components.
 
     A bucket of two was settled when its members were compared.
     """
-    named = members.select("bucket", F.col("rep").alias("doc_id")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "doc_id"))
+    named = members.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = (
         counts.groupBy("bucket")
@@ -197,13 +211,13 @@ def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def search_open(opened: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links found by comparing each open bucket's queries with all its members, block by block."""
-    full = opened.join(sets, "doc_id")
+    full = opened.join(sets, "node")
     query_blocks = F.ceil(F.col("queries") / QUERY_BLOCK).cast("int")
     member_blocks = F.ceil(F.col("size") / MEMBER_BLOCK).cast("int")
-    own = lambda blocks, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), blocks).cast("int")
+    own = lambda blocks, salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
     # Aliases make the columns of the two sides distinct, as grouping the same table twice needs.
-    kept = [F.col(c).alias(c) for c in ("doc_id", "component", "shingles")]
+    kept = [F.col(c).alias(c) for c in ("node", "component", "shingles")]
     queries = full.filter("is_query").select(F.col("bucket").alias("bucket"), own(query_blocks, 1).alias("q"), every(member_blocks).alias("m"), *kept)
     members = full.select(F.col("bucket").alias("bucket"), own(member_blocks, 2).alias("m"), every(query_blocks).alias("q"), *kept)
 
@@ -214,22 +228,29 @@ def search_open(opened: DataFrame, sets: DataFrame, threshold: int = THRESHOLD)
     return queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per doc_id.
+def judge(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, stays) of each row.
+
+    Of each component one document, with all rows that repeat it, stays: that
+    of smallest doc_id (null last), in ties of smallest ``text_key``.  A row
+    without shingles stays.
 
     A pair of similarity s shares no band with probability (1 - s^rows)^bands:
     choose them so that this is negligible at the threshold (in hundredths).
     """
-    known = stage(sketch_documents(docs, width, bands, rows).dropDuplicates(["doc_id"]), "sketches")
-    filled = known.filter("n_shingles > 0")
-    classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    buckets = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center")).filter("n > 1").drop("n")
+    known = stage(sketch_documents(docs, width, bands, rows), "sketches")
+    # The sketch hangs on the set alone: any row's bands are those of its class.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("rep")
+    classes = stage(known.filter("n_shingles > 0").groupBy("set_key").agg(first, F.first("bands").alias("bands")), "classes")
+    order = ["no_id", "rep_id", "rep_text", "set_key"]
+    heads = classes.select("rep.no_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text"), "set_key")
+    heads = stage(number_rows(heads, order, "node"), "class-numbers")
+    buckets = classes.join(heads, "set_key").select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).filter("n > 1").drop("n")
     members = stage(buckets.join(shared, "bucket"), "bucket-members")
 
-    sets = stage(sets_of(docs, members.select(F.col("rep").alias("doc_id")).distinct(), width), "shingle-sets")
-    pairs = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    sets = stage(sets_of(docs, heads.join(members.select("node").distinct(), "node", "left_semi"), width), "shingle-sets")
+    pairs = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = stage(confirmed(pairs, sets, threshold), "links-to-centers")
     labels = stage(components(links, "a", "b"), "components")
     opened = stage(open_buckets(members, labels), "open-buckets")
@@ -238,10 +259,46 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
         if not more.isEmpty():
             labels = stage(components(links.unionByName(more), "a", "b"), "components")
 
-    by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    head = heads.select(F.col("node").alias("component"), F.col("rep_id").alias("component_id"), F.col("rep_text").alias("component_text"))
+    placed = heads.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    placed = placed.join(head, "component").select("set_key", "component_id", "component_text")
+    is_head = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_text"))
+    alone = F.col("set_key").isNull()
     return (
-        known.select("doc_id", "n_shingles", "set_key")
-        .join(by_class, "set_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        known.select("doc_id", "text_key", "n_shingles", "set_key")
+        .join(placed, "set_key", "left")
+        .select("doc_id", "text_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | is_head).alias("stays"))
     )
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per document, and per row without doc_id.
+
+    ``kept`` is doc_id = component_id; without doc_id it tells whether the row's
+    text stays (see ``judge``), so it is never null.
+    """
+    judged = judge(docs, width, threshold, bands, rows)
+    found = judged.groupBy(*judged.columns).agg(F.count(F.lit(1)).alias("n"))
+    copies = F.sequence(F.lit(1).cast("long"), F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("stays")).alias("kept")
+    return found.withColumn("_copy", F.explode(copies)).select("doc_id", "n_shingles", "component_id", kept)
+
+
+def without_copies(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` (any columns) without near copies: of each component one row, and all rows without shingles.
+
+    Where rows repeat doc_id and text, one of them is left, whatever their other columns.
+    """
+    judged = judge(docs.select("doc_id", "text"), width, threshold, bands, rows).filter("n_shingles > 0")
+    counted = judged.groupBy("doc_id", "text_key", "stays").agg(F.count(F.lit(1)).alias("n"))
+    marks = stage(counted.filter("not stays or n > 1"), "marks")
+
+    def of(mark: DataFrame, kind: str, rest: DataFrame) -> DataFrame:
+        same = rest["doc_id"].cast("long").eqNullSafe(mark["doc_id"]) & (text_key(rest["text"]) == mark["text_key"])
+        return rest.join(mark, same, kind)
+
+    left = of(marks.filter("not stays"), "left_anti", docs)
+    repeated = marks.filter("stays")
+    if repeated.isEmpty():
+        return left
+    return of(repeated, "left_anti", left).unionByName(of(repeated, "left_semi", left).dropDuplicates(["doc_id", "text"]))

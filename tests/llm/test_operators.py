@@ -271,7 +271,7 @@ def test_block_links_keep_every_component():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[: 300 - d], rng.integers(0, 2**63, d).astype(np.uint64)])) for d in (0, 5, 10, 40, 100, 200)]
-    table = pa.table({"doc_id": list(range(6)), "component": list(range(6)), "shingles": [s.tobytes() for s in sets]})
+    table = pa.table({"node": list(range(6)), "component": list(range(6)), "shingles": [s.tobytes() for s in sets]})
     found = set(zip(*near_dedup.block_links(table, table).to_pydict().values(), strict=True))
     linked = {(a, b) for a in range(6) for b in range(a + 1, 6) if near_dedup.similar(sets[a], sets[b])}
     assert found <= linked and {x for p in found for x in p} == {x for p in linked for x in p}
@@ -655,3 +655,43 @@ def test_word_codes_are_those_of_words():
     for word, code in zip(words, codes.tolist()):
         assert code_of.setdefault(word, code) == code
     assert len(set(code_of.values())) == len(code_of)
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    """Rows without id, repeated rows, one id with several texts, negative ids."""
+    first, second, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    given_rows = [
+        (None, first), (7, first), (None, first + " more"), (7, second), (7, second), (-3, second + " more"), (9, second),
+        (None, third), (None, third), (None, third + " more"), (None, None), (None, " "), (4, None), (4, ""), (11, "one"), (11, "one"),
+    ]
+    docs = spark.createDataFrame(given_rows, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_duplicates(docs).collect()
+    n, more = 58, 59
+    want = [
+        (None, n, 7, False), (7, n, 7, True), (None, more, 7, False), (7, n, -3, False), (-3, more, -3, True), (9, n, -3, False),
+        (None, 0, None, True), (None, 0, None, True), (4, 0, 4, True), (11, 1, 11, True),
+    ]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0, r[3])
+    nameless = [r for r in got if r["doc_id"] is None and r["component_id"] is None and r["n_shingles"] > 0]
+    # Of three rows of the third group, those of one text are kept.
+    assert sorted(r["n_shingles"] for r in nameless) == [n, n, more]
+    assert len({r["n_shingles"] for r in nameless if r["kept"]}) == 1
+    assert sorted((tuple(r) for r in got if r not in nameless), key=order) == sorted(want, key=order)
+
+
+def test_pipeline_drops_near_copies_only(spark):
+    import corpus_pipeline
+
+    first, second, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    given_rows = [
+        (None, first, 1), (7, first, 2), (7, second, 3), (7, second, 4), (-3, second + " more", 5), (7, third, 6), (None, None, 7), (None, "", 8),
+        (None, "some other words of no copy", 9), (None, "some other words of no copy", 10), (5, None, 11), (5, None, 12),
+    ]
+    docs = spark.createDataFrame(given_rows, "doc_id long, text string, stays int").repartition(4)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    numbers = {r["stays"] for r in kept.collect()}
+    assert numbers - {9, 10} == {2, 5, 6, 7, 8, 11, 12} and len(numbers & {9, 10}) == 1
+    assert kept.count() == 8
+    nothing = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs.filter("doc_id = 99"), SF_DIR)
+    assert nothing.count() == 0
