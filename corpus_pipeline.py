@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
 
 1. language ID: documents in which no language is found go; where no row is labelled nothing can be learned and all stay;
-2. near-dedup: of each group of near copies (five words, similarity 0.8) the one of smallest doc_id stays;
+2. near-dedup: of each group of near copies (five words, similarity 0.8) the one of smallest doc_id stays (null last);
+   rows are told apart by doc_id and text, so no other text of a doc_id goes with it;
 3. secret scan: every secret found in a text is replaced by a mark;
 4. mixture: documents are repeated or cut to what their source's target takes, in the order of their training positions;
 5. BPE: texts become ids, and ids the text that they stand for, still in that order.
@@ -42,8 +43,7 @@ def identify_language(spark: SparkSession, docs: Frame, sf_dir: str) -> Frame:
 
 
 def drop_near_copies(spark: SparkSession, docs: Frame, sf_dir: str) -> Frame:
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), SHINGLE, SIMILARITY, BANDS, ROWS)
-    return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.without_copies(docs, SHINGLE, SIMILARITY, BANDS, ROWS)
 
 
 def redact_secrets(spark: SparkSession, docs: Frame, sf_dir: str) -> Frame:
