@@ -5,6 +5,12 @@ An entry (left, right, x, w) says that the inner product of the factors of
 fixed, each id of the other side is a small ridge problem (Hu, Koren, Volinsky
 2008; Singh and Gordon 2008).
 
+Zeros need no rows.  Where all ids of a group on one side meet all ids of the
+same group on the other with the same weight, and most of those meetings are
+zeros, only the others are entries; they add nothing to the matrices
+(``gram`` 0), and each id of the group adds the group's own matrix, the weighted
+sum over the factors of the other side, which is worked out once a half step.
+
 Spark lays the entries out by id; a task walks its ids in order and adds up a
 k x k matrix for each, holding one matrix, not the id's rows.  A hot id is cut
 into slices whose matrices are added by a grouped sum before they are solved.
@@ -12,7 +18,7 @@ into slices whose matrices are added by a grouped sum before they are solved.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +43,15 @@ def alternate(
     seed: int = 16,
     rows_per_slice: int = ROWS_PER_SLICE,
     broadcast_bytes: int = BROADCAST_BYTES,
+    groups: Mapping[int, float] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Factors of both sides: (left, factor) and (right, factor)."""
-    problem = _Problem(entries, k, reg, rows_per_slice, broadcast_bytes)
+    """Factors of both sides: (left, factor) and (right, factor).
+
+    With ``groups``, the weight of each group's meetings by its number (from 1
+    on), entries have the columns ``gram``, ``left_group`` and ``right_group``;
+    an id belongs to the greatest group that any of its entries names, 0 is none.
+    """
+    problem = _Problem(entries, k, reg, rows_per_slice, broadcast_bytes, groups or {})
     right = problem.start("right", seed)
     left = right
     for _ in range(iterations):
@@ -50,11 +62,23 @@ def alternate(
 
 
 class _Problem:
-    def __init__(self, entries: DataFrame, k: int, reg: float, rows_per_slice: int, broadcast_bytes: int) -> None:
+    def __init__(
+        self, entries: DataFrame, k: int, reg: float, rows_per_slice: int, broadcast_bytes: int, groups: Mapping[int, float]
+    ) -> None:
         spark = entries.sparkSession
         self.k, self.reg, self.broadcast_bytes = k, reg, broadcast_bytes
         self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        stored = stage(entries.select("left", "right", "x", "w"), "ridge-entries")
+        if not groups:
+            entries = entries.withColumns({"gram": F.col("w"), "left_group": F.lit(0), "right_group": F.lit(0)})
+        stored = stage(entries.select("left", "right", "x", "w", "gram", "left_group", "right_group"), "ridge-entries")
+        self.groups = dict(groups)
+        self.members = {
+            side: stage(
+                stored.filter(f"{side}_group > 0").groupBy(side).agg(F.max(f"{side}_group").alias("group")), f"ridge-members-{side}"
+            )
+            for side in ("left", "right")
+            if groups
+        }
         self.hot = {side: pin_hot_keys(stored, [side], rows_per_slice) for side in ("left", "right")}
         # Not hot here means not hot in any iteration: the entries are fixed.
         self.any_hot = {side: not self.hot[side].isEmpty() for side in self.hot}
@@ -88,36 +112,55 @@ class _Problem:
     def solve(self, own: str, other: str, factors: DataFrame) -> DataFrame:
         """Factors of ``own`` with the factors of ``other`` fixed."""
         keys = [own, f"{own}_slice"]
-        needed = [*keys, f"{own}_slices", "x", "w", "factor"]
+        needed = [*keys, f"{own}_slices", "x", "w", "gram", f"{own}_group", "factor"]
+        shared = self.shared(other, factors)
         if self.sizes[other] * (8 * self.k + ID_BYTES) <= self.broadcast_bytes:
             joined = self.layout(own).join(F.broadcast(factors), other).select(*needed)
         else:
             repeated = repeat_slices(factors, [other], self.hot[other]).withColumnRenamed(SLICE, f"{other}_slice")
             joined = self.layout(other).join(repeated, [other, f"{other}_slice"]).select(*needed).repartition(self.tasks, *keys)
         parts = joined.sortWithinPartitions(*keys).mapInArrow(
-            _normal_equations(self.k, self.reg), f"{own} string, factor array<double>, sums array<double>"
+            _normal_equations(self.k, self.reg, shared), f"{own} string, factor array<double>, sums array<double>"
         )
         if not self.any_hot[own]:
             solved = cut_lineage(parts.select(own, "factor"))
         else:
             parts = cut_lineage(parts)
-            solved = cut_lineage(parts.filter("factor is not null").select(own, "factor").unionByName(self.merge(parts, own)))
+            solved = cut_lineage(parts.filter("factor is not null").select(own, "factor").unionByName(self.merge(parts, own, shared)))
         if own not in self.sizes:
             self.sizes[own] = solved.count()
         return solved
 
-    def merge(self, parts: DataFrame, own: str) -> DataFrame:
-        """Add the matrices of hot ids element by element, then solve them."""
+    def shared(self, other: str, factors: DataFrame) -> dict[int, np.ndarray]:
+        """The matrix that every id of a group adds: one k x k matrix per group, summed in Spark."""
+        if not self.groups:
+            return {}
+        grouped = factors.join(self.members[other], other).select("group", "factor")
+        sums = (
+            grouped.mapInArrow(_group_sums(self.k), "group int, sums array<double>")
+            .select("group", F.posexplode("sums").alias("_at", "_v"))
+            .groupBy("group", "_at")
+            .agg(F.sum("_v").alias("_v"))
+            .collect()
+        )
+        found = {group: np.zeros(self.k * self.k) for group in self.groups}
+        for group, at, value in sums:
+            found[group][at] = value * self.groups[group]
+        return {group: total.reshape(self.k, self.k) for group, total in found.items()}
+
+    def merge(self, parts: DataFrame, own: str, shared: dict[int, np.ndarray]) -> DataFrame:
+        """Add the matrices of hot ids element by element, then solve them.  The last element is the group, not a sum."""
+        value = F.when(F.col("_at") == self.k * (self.k + 1), F.max("_v")).otherwise(F.sum("_v"))
         sums = (
             parts.filter("factor is null")
             .select(own, F.posexplode("sums").alias("_at", "_v"))
             .groupBy(own, "_at")
-            .agg(F.sum("_v").alias("_v"))
+            .agg(value.alias("_v"))
             .groupBy(own)
             .agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_s"))
             .select(own, F.transform("_s", lambda e: e["_v"]).alias("sums"))
         )
-        return sums.mapInArrow(_solve_sums(self.k, self.reg), f"{own} string, factor array<double>")
+        return sums.mapInArrow(_solve_sums(self.k, self.reg, shared), f"{own} string, factor array<double>")
 
 
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
@@ -130,16 +173,39 @@ def _ridge(grams: np.ndarray, rights: np.ndarray, reg: float) -> np.ndarray:
     return np.linalg.solve(grams + max(reg, 1e-10) * eye, rights[..., None])[..., 0]
 
 
-def _normal_equations(k: int, reg: float):
+def _group_sums(k: int):
+    """Per task and group, the sum of the outer products of its factors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            group = batch.column(0).to_numpy(zero_copy_only=False)
+            factor = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)
+            for g in np.unique(group):
+                rows = factor[group == g]
+                sums[int(g)] = sums.get(int(g), np.zeros((k, k))) + rows.T @ rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), _lists([m.ravel() for m in sums.values()])], ["group", "sums"])
+
+    return run
+
+
+def _with_shared(grams: np.ndarray, groups: np.ndarray, shared: dict[int, np.ndarray]) -> np.ndarray:
+    for group, total in shared.items():
+        grams = grams + (groups == group)[:, None, None] * total
+    return grams
+
+
+def _normal_equations(k: int, reg: float, shared: dict[int, np.ndarray]):
     """Rows sorted by (id, slice) to one factor, or one partial sum, per slice."""
 
     def emit(done: list[tuple]) -> pa.RecordBatch:
         ids = [d[0] for d in done]
         whole = [n for n, d in enumerate(done) if d[2] == 1]
         factors: list[np.ndarray | None] = [None] * len(done)
-        sums: list[np.ndarray | None] = [np.concatenate([d[3].ravel(), d[4]]) if d[2] > 1 else None for d in done]
+        sums: list[np.ndarray | None] = [np.concatenate([d[3].ravel(), d[4], [d[5]]]) if d[2] > 1 else None for d in done]
         if whole:
-            solved = _ridge(np.stack([done[n][3] for n in whole]), np.stack([done[n][4] for n in whole]), reg)
+            grams = _with_shared(np.stack([done[n][3] for n in whole]), np.array([done[n][5] for n in whole]), shared)
+            solved = _ridge(grams, np.stack([done[n][4] for n in whole]), reg)
             for n, factor in zip(whole, solved):
                 factors[n] = factor
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), _lists(factors), _lists(sums)], ["id", "factor", "sums"])
@@ -155,20 +221,24 @@ def _normal_equations(k: int, reg: float):
             parts = batch.column(2).to_numpy(zero_copy_only=False)
             x = batch.column(3).to_numpy(zero_copy_only=False)
             w = batch.column(4).to_numpy(zero_copy_only=False)
-            factor = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(n, k)
-            weighted = factor * w[:, None]
+            gram_w = batch.column(5).to_numpy(zero_copy_only=False)
+            group = batch.column(6).to_numpy(zero_copy_only=False)
+            factor = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(n, k)
+            weighted, gram_weighted = factor * (w * x)[:, None], factor * gram_w[:, None]
             starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (part[1:] != part[:-1])])
+            tops = np.maximum.reduceat(group, starts)
             done = []
-            for s, e in zip(starts, np.r_[starts[1:], n]):
-                gram = weighted[s:e].T @ factor[s:e]
-                right = weighted[s:e].T @ x[s:e]
+            for s, e, top in zip(starts, np.r_[starts[1:], n], tops):
+                gram = gram_weighted[s:e].T @ factor[s:e]
+                right = weighted[s:e].sum(axis=0)
                 if held is not None and held[0] == ids[s] and held[1] == part[s]:
                     held[3] += gram
                     held[4] += right
+                    held[5] = max(held[5], top)
                     continue
                 if held is not None:
                     done.append(tuple(held))
-                held = [ids[s], part[s], parts[s], gram, right]
+                held = [ids[s], part[s], parts[s], gram, right, top]
             if done:
                 yield emit(done)
         if held is not None:
@@ -177,13 +247,14 @@ def _normal_equations(k: int, reg: float):
     return run
 
 
-def _solve_sums(k: int, reg: float):
+def _solve_sums(k: int, reg: float, shared: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            sums = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k * k + k)
-            solved = _ridge(sums[:, : k * k].reshape(-1, k, k), sums[:, k * k :], reg)
+            sums = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k * k + k + 1)
+            grams = _with_shared(sums[:, : k * k].reshape(-1, k, k), sums[:, -1], shared)
+            solved = _ridge(grams, sums[:, k * k : -1], reg)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(solved))], ["id", "factor"])
 
     return run
