@@ -177,6 +177,14 @@ def model_mf_rank2(spark, sf_dir):
     return rounded_predictions(model.transform(test.select("user_id", "business_id", "stars")))
 
 
+# Steps on one rating after the other, which SQL can't repeat: tests hold them against a plain loop.
+@query("model_mf_sgd")
+def model_mf_sgd(spark, sf_dir):
+    train, test = data.split(spark, sf_dir)
+    model = BiasedMF(n_factors=10, reg_all=0.02, n_epochs=TRAINED, lr_all=0.005).fit(train)
+    return model.transform(test.select("user_id", "business_id", "stars"))
+
+
 def side_tables(spark, sf_dir):
     return user_features(views.users(spark, sf_dir)), data.features(spark, sf_dir)
 
