@@ -70,18 +70,23 @@ class Block:
     """
 
     def __init__(self, table: pa.Table, width: int = WIDTH, keep_words: bool = True):
-        self.doc_ids: list = []
+        # In an order of their own: a block is read more than once, and its batches may come in another order each time.
+        rows = [
+            (LAST if doc is None else doc, doc is None, text or b"")
+            for batch in unpacked(table)
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
+        ]
+        rows.sort()
+        self.doc_ids: list = [None if missing else doc for doc, missing, _ in rows]
         self.words: list[bytes] = []
         sizes, parts = [], []
-        for batch in unpacked(table):
-            self.doc_ids += batch["doc_id"].to_pylist()
-            texts = [text or b"" for text in batch["text"].to_pylist()]
-            for begin, end in together(list(map(len, texts))):
-                counts, codes = word_codes(texts[begin:end])
-                sizes.append(counts)
-                parts.append(codes)
-                if keep_words:
-                    self.words += b" ".join(texts[begin:end]).split()
+        texts = [text for _, _, text in rows]
+        for begin, end in together(list(map(len, texts))):
+            counts, codes = word_codes(texts[begin:end])
+            sizes.append(counts)
+            parts.append(codes)
+            if keep_words:
+                self.words += b" ".join(texts[begin:end]).split()
         self.sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
         numbers = np.array([LAST if d is None else d for d in self.doc_ids], np.int64)
         coded = np.concatenate([np.zeros(0, np.uint64), *parts])

@@ -695,3 +695,16 @@ def test_pipeline_drops_near_copies_only(spark):
     assert kept.count() == 8
     nothing = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs.filter("doc_id = 99"), SF_DIR)
     assert nothing.count() == 0
+
+
+def test_substring_blocks_do_not_depend_on_the_order_of_batches():
+    import pyarrow as pa
+
+    from tasteforge.llm.blocks import compressed
+
+    rows_ = [(k, " ".join(f"w{(k * 7 + i) % 40}" for i in range(30)).encode()) for k in range(6)]
+    packed = [compressed(pa.record_batch({"doc_id": pa.array([d], pa.int64()), "text": pa.array([t], pa.binary())})) for d, t in rows_]
+    one, two = (substring_dedup.Block(pa.table({"docs": pa.array(p, pa.binary())})) for p in (packed, packed[::-1]))
+    assert one.doc_ids == two.doc_ids and one.words == two.words
+    state = [substring_dedup.SHARED] * len(one.begin)
+    assert list(one.distinct(state)[0].items()) == list(two.distinct(state)[0].items())
