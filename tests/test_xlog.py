@@ -81,3 +81,13 @@ def test_append_and_stack(spark, tmp_path):
 def test_unpivot(spark):
     runs = spark.createDataFrame([("M", 1.0, 2.0)], "model string, rmse double, mae double")
     assert sorted(map(tuple, unpivot_metrics(runs, ["rmse", "mae"], ["model"]).collect())) == [("M", "mae", 2.0), ("M", "rmse", 1.0)]
+
+
+def test_a_large_log_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 4).selectExpr(
+        "id", "'d' as dataset", "'M' as model", "'h' as hyper", "'rmse' as metric", "1.0D as value", "0 as fold", "'p' as path",
+        "timestamp_ntz'2020-01-01 00:00:00' as ts",
+    )
+    append_log(rows, str(tmp_path / "log"))
+    assert len(list((tmp_path / "log").glob("dataset=d/*.parquet"))) == 4
+    assert read_log(spark, str(tmp_path / "log")).count() == 400
