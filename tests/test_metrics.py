@@ -92,3 +92,10 @@ def test_positions_break_ties_by_item(spark):
     scored = spark.createDataFrame([("u", "b", 1.0), ("u", "a", 1.0), ("u", "c", 2.0)], PAIRS + ", prediction double")
     got = list_positions(rank_candidates(scored, 5)).orderBy("position").collect()
     assert [(r.business_id, r.rank, r.position) for r in got] == [("c", 1, 1), ("a", 2, 2), ("b", 2, 3)]
+
+
+def test_key_of_many_candidates(spark):
+    """The hashes of 20 million rows add up to more than a long holds."""
+    from tasteforge.plans.evaluate import content_key
+
+    assert content_key(spark.range(20_000_000)).startswith("20000000-")
