@@ -115,3 +115,29 @@ def test_both_anti_joins_and_the_union(spark):
         spark.createDataFrame([("s", "a", "X"), ("t", "a", "X"), ("c", "a", "Y")], "business_id string, top_category string, state string"),
     )
     assert {(r.user_id, r.business_id, r.pool_size) for r in pool.collect()} == {("u", "t", 1), ("u", "s", 1), ("v", "t", 1)}
+
+
+def test_draws_from_lists_are_those_by_place(spark, items, test_pairs, monkeypatch):
+    listed = drawn(sampling.sample_negatives(test_pairs, items, 20))
+    monkeypatch.setattr(sampling, "LISTED", 0)
+    assert drawn(sampling.sample_negatives(test_pairs, items, 20)) == listed
+
+
+def test_drawn_rows_are_not_shuffled(items, test_pairs):
+    """Each exchange is below the step that makes rows of a pair's places."""
+    numbered = sampling.number_items(items)
+    pairs = sampling.keyed_pairs(test_pairs, numbered, 7)
+    plan = sampling.from_lists(pairs, numbered, 20, 10**6)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]
+    assert "Exchange" in plan
+
+
+def test_seen_draws(spark, items, test_pairs):
+    train = spark.createDataFrame([("u1", f"b{i}") for i in range(0, 304, 3)] + [("u2", "b301"), ("u9", "b1"), (None, "b1")], "user_id string, business_id string")
+    candidates = sampling.sample_negatives(test_pairs, items, 20)
+    seen = sampling.seen_draws(train, test_pairs, items, 20)
+    met = {(u, c) for u, _, c in drawn(candidates)} & {tuple(r) for r in train.collect()}
+    assert met and {tuple(r) for r in seen.collect()} == met
+    assert drawn(sampling.drop_seen_candidates(candidates, train, seen)) == drawn(sampling.drop_seen_candidates(candidates, train))
+    again = train.unionByName(test_pairs.filter("user_id = 'u4'"))
+    assert drawn(sampling.drop_seen_test_pairs(candidates, again, test_pairs)) == drawn(sampling.drop_seen_test_pairs(candidates, again))
