@@ -145,7 +145,7 @@ def active_items(spark, sf_dir):
           and business_id in (select business_id from ratings group by 1 having count(*) >= 20)""",
 )
 def active_ratings(spark, sf_dir):
-    return rating_rows(prep.active_ratings(views.ratings(spark, sf_dir), data.USER_AT_LEAST, 20))
+    return rating_rows(prep.active_ratings(data.ratings(spark, sf_dir), data.USER_AT_LEAST, 20))
 
 
 @query(
@@ -185,7 +185,7 @@ def split_latest_train(spark, sf_dir):
                 select *, {uniform_sql(42, 'user_id', 'business_id', 'review_ts')} as u from ratings))""",
 )
 def split_percent_rank(spark, sf_dir):
-    return rating_rows(prep.mark_percent_rank(views.ratings(spark, sf_dir), (0.0, 0.2), seed=42), "is_test")
+    return rating_rows(prep.mark_percent_rank(data.ratings(spark, sf_dir), (0.0, 0.2), seed=42), "is_test")
 
 
 @query("business_features", "features", "select * from features")
