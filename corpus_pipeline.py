@@ -71,9 +71,10 @@ def tokenize(spark: SparkSession, docs: Frame, sf_dir: str) -> Frame:
     except AnalysisException:
         return bpe.decode(bpe.encode(docs.select("doc_id", "text"))).withColumn("position", F.lit(None).cast("long"))
     # Encoded by position, which no two rows share, so passes of one document are told apart and spread.
-    encoded = bpe.encode(placed.select(F.col("position").alias("doc_id"), "text")).withColumnRenamed("doc_id", "position")
-    named = placed.select("position", "doc_id").join(encoded, "position").select("doc_id", "position", "input_ids")
-    return bpe.decode(named.repartitionByRange("position").sortWithinPartitions("position"))
+    # The ids pass two shuffles, so they go as packed 16-bit numbers.
+    encoded = bpe.narrow(bpe.encode(placed.select(F.col("position").alias("doc_id"), "text"))).withColumnRenamed("doc_id", "position")
+    named = placed.select("position", "doc_id").join(encoded, "position").select("doc_id", "position", "n", "packed")
+    return bpe.decode(bpe.widen(named.repartitionByRange("position").sortWithinPartitions("position")))
 
 
 STAGES = [

@@ -39,7 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tasteforge.llm.blocks import block_count, compressed, opened, pack, unpacked
+from tasteforge.llm.blocks import LEVEL, block_count, compressed, opened, pack, unpacked
 from tasteforge.llm.common import few_rows
 
 BLOCK_BYTES = 12_000_000
@@ -144,6 +144,38 @@ def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BY
     return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(join_back, "doc_id long, input_ids array<int>")
 
 
+def narrow(encoded: DataFrame) -> DataFrame:
+    """``encode``'s rows with ``n`` and ``packed``, the ids as compressed 16-bit numbers, in place of ``input_ids``: less to shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=LEVEL)
+        for batch in batches:
+            column = batch["input_ids"]
+            ends = column.offsets.to_numpy()
+            flat = column.flatten().to_numpy().astype(np.uint16)
+            packed = [codec.compress(flat[a:b].tobytes(), asbytes=True) for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(ends), pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "packed"])
+
+    return encoded.transform(few_rows).mapInArrow(run, "doc_id long, n int, packed binary")
+
+
+def widen(narrowed: DataFrame) -> DataFrame:
+    """Rows with ``input_ids`` again, after their other columns and in their order."""
+    names = [c for c in narrowed.columns if c not in ("n", "packed")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrowed.select(*names).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            sizes = batch["n"].to_numpy()
+            each = [np.frombuffer(codec.decompress(p.as_buffer(), 2 * int(n), asbytes=True), np.uint16) for p, n in zip(batch["packed"], sizes)]
+            flat = np.concatenate([np.zeros(0, np.uint16), *each]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, ids], names=[*names, "input_ids"])
+
+    return narrowed.transform(few_rows).mapInArrow(run, f"{schema}, input_ids array<int>")
+
+
 def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places begin, begin + 1, ... of each stretch, one stretch after the other."""
     ends = np.cumsum(sizes, dtype=np.int64)
