@@ -405,6 +405,25 @@ def test_mixture_of_repeated_rows(spark, odd):
     assert plan.count() == docs.count()
 
 
+def test_mixture_query_is_the_mix_in_order(spark, odd, tmp_path):
+    """Every pass with its text and position, sorted; documents of which nothing is taken once, after all others."""
+    from tasteforge.llm.queries import QUERIES
+
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op7_mixture"](spark, str(tmp_path)).collect()
+    mixed = [r for r in got if r["position"] is not None]
+    assert got[: len(mixed)] == mixed and [r["position"] for r in mixed] == sorted(r["position"] for r in mixed)
+    plan = rows(mixture.mix(docs))
+    assert sorted((r["doc_id"], r["pass"], r["pass_taken"], r["position"]) for r in mixed) == sorted(
+        (i, p["pass"], p["taken"], p["position"]) for i, r in plan.items() for p in r["passes"]
+    )
+    assert max(r["n_passes"] for r in mixed) > 1 and all(len(words_of(r["text"])) == r["pass_taken"] for r in mixed)
+    assert [r["doc_id"] for r in got[len(mixed) :]] == sorted(i for i, r in plan.items() if not r["taken"])
+    for r in got:
+        assert all(r[c] == plan[r["doc_id"]][c] for c in ("size", "source_size", "target", "taken"))
+
+
 def test_language_stage_keeps_columns(spark, odd):
     import corpus_pipeline
 
