@@ -5,6 +5,8 @@ from collections import Counter
 import pytest
 
 from tasteforge.operators import sampling
+from tasteforge.operators.lists import list_per_key
+from tasteforge.sources.shared import stage
 
 
 @pytest.fixture(scope="module")
@@ -141,3 +143,43 @@ def test_seen_draws(spark, items, test_pairs):
     assert drawn(sampling.drop_seen_candidates(candidates, train, seen)) == drawn(sampling.drop_seen_candidates(candidates, train))
     again = train.unionByName(test_pairs.filter("user_id = 'u4'"))
     assert drawn(sampling.drop_seen_test_pairs(candidates, again, test_pairs)) == drawn(sampling.drop_seen_test_pairs(candidates, again))
+
+
+def test_seen_draws_go_without_a_shuffle_of_candidates(spark, items, test_pairs, monkeypatch):
+    """Repeated items, null users and unnamed groups included: the rows are those of the joins with all candidates."""
+    drawn = lambda df: sorted(map(tuple, df.select("user_id", "business_id", "candidate_id").collect()), key=str)
+    more = spark.createDataFrame([("b3", "a", "X"), ("b3", "c", "Y"), ("n1", None, "X"), ("n2", None, "X")], "business_id string, top_category string, state string")
+    items = items.select("business_id", "top_category", "state").unionByName(more)
+    asked = test_pairs.unionByName(spark.createDataFrame([(None, "b4"), ("u1", "n1"), ("u1", "b3")], "user_id string, business_id string"))
+    rated = [(u, f"b{i}") for u in ("u1", "u4") for i in range(0, 304, 2)]
+    train = spark.createDataFrame([*rated, ("u1", "b3"), ("u1", "b3"), ("u9", "b1"), (None, "b1")], "user_id string, business_id string")
+    for limit in (sampling.LISTED, 0):
+        monkeypatch.setattr(sampling, "LISTED", limit)
+        rows = sampling.sample_negatives(asked, items, 20)
+        draws = sampling.draw_negatives(asked, items, 20)
+        kept = sampling.drop_seen_candidates(draws, train)
+        assert drawn(kept.rows()) == drawn(sampling.drop_seen_candidates(rows, train)) != drawn(rows)
+        by_pair = sampling.drop_seen_test_pairs(draws, train)
+        assert drawn(by_pair.rows()) == drawn(sampling.drop_seen_test_pairs(rows, train)) != drawn(rows)
+        for mine, plain in ((kept, sampling.drop_seen_candidates(rows, train)), (by_pair, sampling.drop_seen_test_pairs(rows, train))):
+            table = [sorted(map(tuple, sampling.test_candidates(part).collect()), key=str) for part in (mine, plain)]
+            assert table[0] == table[1]
+        lists = [
+            sorted(map(tuple, list_per_key(df, ["user_id", "business_id"], "candidate_id", "found", 10).collect()))
+            for df in (kept.lists(), stage(kept.rows(), "kept"))
+        ]
+        assert lists[0] == lists[1] and max(row[2] for row in lists[0]) > 0
+    monkeypatch.undo()
+    short = kept.pairs.filter("_group_size <= 100000")
+    plan = sampling.from_lists(short, kept.numbered, 20, 10**6)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]
+
+
+def test_candidate_queries_do_not_store_or_shuffle_candidates(spark, monkeypatch):
+    """What the queries return is drawn last: above the step that spells the places out there is no exchange."""
+    from tasteforge.plans import queries_sampling
+
+    for query in (queries_sampling.drop_seen_candidates, queries_sampling.test_candidates, queries_sampling.test_candidates_by_test_pair):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        before = plan[: plan.index("Generate explode(CASE")]
+        assert "anti" not in before.lower() and "negatives-" not in plan and "kept-" not in plan
