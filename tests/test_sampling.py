@@ -153,33 +153,51 @@ def test_seen_draws_go_without_a_shuffle_of_candidates(spark, items, test_pairs,
     asked = test_pairs.unionByName(spark.createDataFrame([(None, "b4"), ("u1", "n1"), ("u1", "b3")], "user_id string, business_id string"))
     rated = [(u, f"b{i}") for u in ("u1", "u4") for i in range(0, 304, 2)]
     train = spark.createDataFrame([*rated, ("u1", "b3"), ("u1", "b3"), ("u9", "b1"), (None, "b1")], "user_id string, business_id string")
-    for limit in (sampling.LISTED, 0):
-        monkeypatch.setattr(sampling, "LISTED", limit)
-        rows = sampling.sample_negatives(asked, items, 20)
-        draws = sampling.draw_negatives(asked, items, 20)
-        kept = sampling.drop_seen_candidates(draws, train)
-        assert drawn(kept.rows()) == drawn(sampling.drop_seen_candidates(rows, train)) != drawn(rows)
-        by_pair = sampling.drop_seen_test_pairs(draws, train)
-        assert drawn(by_pair.rows()) == drawn(sampling.drop_seen_test_pairs(rows, train)) != drawn(rows)
-        for mine, plain in ((kept, sampling.drop_seen_candidates(rows, train)), (by_pair, sampling.drop_seen_test_pairs(rows, train))):
-            table = [sorted(map(tuple, sampling.test_candidates(part).collect()), key=str) for part in (mine, plain)]
-            assert table[0] == table[1]
-        lists = [
-            sorted(map(tuple, list_per_key(df, ["user_id", "business_id"], "candidate_id", "found", 10).collect()))
-            for df in (kept.lists(), stage(kept.rows(), "kept"))
-        ]
-        assert lists[0] == lists[1] and max(row[2] for row in lists[0]) > 0
-    monkeypatch.undo()
+    items, asked, train = (stage(df.coalesce(1), "given") for df in (items, asked, train))
+    rows = stage(sampling.sample_negatives(asked, items, 20), "rows")
+    draws = sampling.draw_negatives(asked, items, 20)
+    kept, by_pair = sampling.drop_seen_candidates(draws, train), sampling.drop_seen_test_pairs(draws, train)
+    left = stage(sampling.drop_seen_candidates(rows, train), "left")
+    assert drawn(kept.rows()) == drawn(left) != drawn(rows)
+    assert drawn(by_pair.rows()) == drawn(sampling.drop_seen_test_pairs(rows, train)) != drawn(rows)
+    table = [sorted(map(tuple, sampling.test_candidates(part).collect()), key=str) for part in (kept, left)]
+    assert table[0] == table[1]
+    lists = [sorted(map(tuple, list_per_key(df, ["user_id", "business_id"], "candidate_id", "found", 10).collect())) for df in (kept.lists(), left)]
+    assert lists[0] == lists[1] and max(row[2] for row in lists[0]) > 0
     short = kept.pairs.filter("_group_size <= 100000")
     plan = sampling.from_lists(short, kept.numbered, 20, 10**6)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate explode")]
+    monkeypatch.setattr(sampling, "LISTED", 0)
+    assert drawn(kept.rows()) == drawn(left)
 
 
 def test_candidate_queries_do_not_store_or_shuffle_candidates(spark, monkeypatch):
     """What the queries return is drawn last: above the step that spells the places out there is no exchange."""
     from tasteforge.plans import queries_sampling
 
-    for query in (queries_sampling.drop_seen_candidates, queries_sampling.test_candidates, queries_sampling.test_candidates_by_test_pair):
+    for query in (queries_sampling.test_candidates, queries_sampling.test_candidates_by_test_pair):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         before = plan[: plan.index("Generate explode(CASE")]
         assert "anti" not in before.lower() and "negatives-" not in plan and "kept-" not in plan
+
+
+def test_candidates_bring_the_terms_of_a_model(spark, items, test_pairs, monkeypatch):
+    """Ranked as candidates that are joined with the model's tables, without an exchange between a draw and the cut to the first ones."""
+    from tasteforge.models.bias import BiasModel
+
+    train = spark.createDataFrame([(f"u{n % 4}", f"b{n * 7 % 304}", float(n % 5 + 1)) for n in range(200)], "user_id string, business_id string, stars double")
+    asked = test_pairs.unionByName(spark.createDataFrame([(None, "b4"), ("new", "b9")], "user_id string, business_id string"))
+    model = BiasModel(n_epochs=2).fit(train)
+    kept = sampling.drop_seen_candidates(sampling.draw_negatives(asked, items, 20), train)
+    plain, bringing = sampling.test_candidates(kept, asked), sampling.test_candidates(kept, asked, model.terms())
+    assert {"b_u", "b_i"} <= set(bringing.columns)
+    lists = [sorted(map(tuple, model.recommend(part, 5, digits=6).collect()), key=str) for part in (plain, bringing)]
+    assert lists[0] == lists[1] and len(lists[0]) > 10
+    draws = kept.with_terms(*model.terms())
+    whole = sorted(map(tuple, draws.rows().collect()), key=str)
+    drawn_rows = sampling.from_lists(draws.pairs, draws.numbered, 20, 10**6, user_terms=["b_u"], item_terms=["b_i"])
+    scored = model.transform(drawn_rows.drop("business_id").withColumnRenamed("candidate_id", "business_id"))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]
+    monkeypatch.setattr(sampling, "LISTED", 0)
+    assert sorted(map(tuple, draws.rows().collect()), key=str) == whole
